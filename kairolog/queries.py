@@ -2,20 +2,200 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kairolog.session import Database, TxCount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TABLES = {
+    "region": ("r_regionkey", {}),
+    "nation": ("n_nationkey", {"n_regionkey": "region"}),
+    "supplier": ("s_suppkey", {"s_nationkey": "nation"}),
+    "customer": ("c_custkey", {"c_nationkey": "nation"}),
+    "part": ("p_partkey", {}),
+    "orders": ("o_orderkey", {"o_custkey": "customer"}),
+    "lineitem": (None, {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
+    "events": ("event_id", {}),
+}
+
+
+def database(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> Database:
+    db = Database(spark, facts=facts)
+    for name, (key, refs) in TABLES.items():
+        db.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, refs)
+    return db
+
+
+WEEK = 7 * 86_400_000
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts from events: who did what, each true for a week; a third of the rows are retractions."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    v = F.struct(F.lit(0).cast("tinyint").alias("t"), F.col("event_type").alias("s"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("boolean").alias("b"))
+    return ev.select(F.col("user_id").cast("string").alias("e"), F.lit(":user/act").alias("a"), v.alias("v"), ms.alias("tx_id"), (F.col("event_id") + 1).alias("tx_count"), ms.alias("valid_from"), (ms + WEEK).alias("valid_to"), (F.col("event_id") % 3 != 0).alias("asserted"))
+
+
+#: name: (query, result columns, SQL)
+PLAIN: dict[str, tuple[str, list[str], str]] = {
+    "flagship_segments": (
+        "[:find ?seg (count ?o) (sum ?t) :where [?o :orders/o_custkey ?c] [?o :orders/o_totalprice ?t] [?c :customer/c_mktsegment ?seg] [(> ?t 100000.0)]]",
+        ["segment", "n", "total"],
+        "SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY 1",
+    ),
+    "scan_filter": ("[:find ?o ?t :where [?o :orders/o_totalprice ?t] [?o :orders/o_orderstatus \"F\"] [(> ?t 200000)]]", ["o", "t"], "SELECT o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000"),
+    "scan_entity": ("[:find ?n ?b :where [7 :customer/c_name ?n] [7 :customer/c_acctbal ?b]]", ["n", "b"], "SELECT c_name AS n, c_acctbal AS b FROM customer WHERE c_custkey = 7"),
+    "scan_wildcard": ("[:find ?p :where [?p :part/p_size _] [_ :region/r_name \"ASIA\"]]", ["p"], "SELECT p_partkey AS p FROM part, region WHERE r_name = 'ASIA' AND p_size IS NOT NULL"),
+    "bag_projection": ("[:find ?s :where [?o :orders/o_orderstatus ?s]]", ["s"], "SELECT o_orderstatus AS s FROM orders"),
+    "expr_arith": ("[:find ?o ?x :where [?o :orders/o_totalprice ?t] [(- (* ?t 2) 1.5) ?x]]", ["o", "x"], "SELECT o_orderkey AS o, o_totalprice * 2 - 1.5 AS x FROM orders"),
+    "expr_div_int": ("[:find ?p ?h :where [?p :part/p_size ?z] [(/ ?z (- ?z 7)) ?h]]", ["p", "h"], "SELECT p_partkey AS p, CAST(p_size // (p_size - 7) AS BIGINT) AS h FROM part WHERE p_size > 7 UNION ALL SELECT p_partkey, CAST(-(p_size // (7 - p_size)) AS BIGINT) FROM part WHERE p_size < 7"),
+    "expr_wrap": ("[:find ?p ?w :where [?p :part/p_size ?z] [(+ ?z 9223372036854775807) ?w]]", ["p", "w"], "SELECT p_partkey AS p, CAST(CAST(p_size AS HUGEINT) + 9223372036854775807 - (CASE WHEN p_size > 0 THEN 18446744073709551616 ELSE 0 END)::HUGEINT AS BIGINT) AS w FROM part"),
+    "expr_string_preds": ("[:find ?p :where [?p :part/p_type ?t] [?p :part/p_name ?n] [(contains? ?n \"a\")] [(starts-with? ?t \"S\")] [(ends-with? ?n \"1\")]]", ["p"], "SELECT p_partkey AS p FROM part WHERE contains(p_name, 'a') AND starts_with(p_type, 'S') AND ends_with(p_name, '1')"),
+    "expr_regex": ("[:find ?c :where [?c :customer/c_name ?n] [(matches? ?n \"[0-9]*7$\")]]", ["c"], "SELECT c_custkey AS c FROM customer WHERE regexp_matches(c_name, '[0-9]*7$')"),
+    "expr_bind_nested": ("[:find ?l ?rev :where [?l :supplier/s_acctbal ?b] [?l :supplier/s_nationkey ?n] [(+ (* ?b 2) (- ?b 1)) ?rev] [(>= ?rev 0)]]", ["l", "rev"], "SELECT s_suppkey AS l, s_acctbal * 2 + (s_acctbal - 1) AS rev FROM supplier WHERE s_acctbal * 2 + (s_acctbal - 1) >= 0"),
+    "expr_equality": ("[:find ?p :where [?p :part/p_size ?z] [?p :part/p_brand ?b] [(!= ?b \"Brand#1\")] [(= ?z 5)]]", ["p"], "SELECT p_partkey AS p FROM part WHERE p_brand <> 'Brand#1' AND p_size = 5"),
+    "type_preds": ("[:find ?p :where [?p :part/p_size ?z] [?p :part/p_name ?n] [?p :part/p_retailprice ?r] [(integer? ?z)] [(string? ?n)] [(float? ?r)]]", ["p"], "SELECT p_partkey AS p FROM part"),
+    "join_2": ("[:find ?o ?n :where [?o :orders/o_custkey ?c] [?c :customer/c_name ?n]]", ["o", "n"], "SELECT o_orderkey AS o, c_name AS n FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "join_4_chain": (
+        "[:find ?rn (count ?o) :where [?o :orders/o_custkey ?c] [?c :customer/c_nationkey ?n] [?n :nation/n_regionkey ?r] [?r :region/r_name ?rn]]",
+        ["region", "n"],
+        "SELECT r_name AS region, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    ),
+    "join_lineitem": (
+        "[:find ?st (sum ?q) (count ?l) :where [?l :lineitem/l_orderkey ?o] [?l :lineitem/l_quantity ?q] [?o :orders/o_orderstatus ?st]]",
+        ["status", "quantity", "n"],
+        "SELECT o_orderstatus AS status, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    ),
+    "self_join": ("[:find ?a ?b :where [?a :supplier/s_nationkey ?n] [?b :supplier/s_nationkey ?n] [?a :supplier/s_acctbal ?x] [?b :supplier/s_acctbal ?y] [(< ?x ?y)]]", ["a", "b"], "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_acctbal < b.s_acctbal"),
+    "theta_join": ("[:find ?n ?s :where [?n :nation/n_name ?nn] [?s :supplier/s_acctbal ?b] [?n :nation/n_regionkey 1] [(>= ?b 9000)]]", ["n", "s"], "SELECT n_nationkey AS n, s_suppkey AS s FROM nation, supplier WHERE n_regionkey = 1 AND s_acctbal >= 9000"),
+    "cross_join_small": ("[:find ?a ?b :where [?x :region/r_name ?a] [?y :region/r_name ?b]]", ["a", "b"], "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b"),
+    "not_anti": ("[:find ?o :where [?o :orders/o_orderstatus _] (not-join [?o] [?l :lineitem/l_orderkey ?o])]", ["o"], "SELECT o_orderkey AS o FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"),
+    "not_join_exist": ("[:find ?c :where [?c :customer/c_name ?n] (not-join [?c] [?o :orders/o_custkey ?c] [?o :orders/o_orderpriority \"1-URGENT\"])]", ["c"], "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
+    "not_expr": ("[:find ?p :where [?p :part/p_size ?z] (not [(> ?z 10)])]", ["p"], "SELECT p_partkey AS p FROM part WHERE NOT p_size > 10"),
+    "not_pattern_expr": ("[:find ?s :where [?s :supplier/s_acctbal ?b] [?s :supplier/s_nationkey ?n] (not-join [?b ?n] [?c :customer/c_nationkey ?n] [?c :customer/c_acctbal ?x] [(> ?x ?b)])]", ["s"], "SELECT s_suppkey AS s FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal)"),
+    "or_union": ("[:find ?o :where [?o :orders/o_totalprice ?t] (or [?o :orders/o_orderstatus \"F\"] [?o :orders/o_orderpriority \"1-URGENT\"])]", ["o"], "SELECT o_orderkey AS o FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'"),
+    "or_new_var": ("[:find ?n ?x :where [?c :customer/c_nationkey ?n] (or [?c :customer/c_mktsegment ?x] [?c :customer/c_name ?x])]", ["n", "x"], "SELECT c_nationkey::BIGINT AS n, x FROM (SELECT c_custkey, c_nationkey, c_mktsegment AS x FROM customer UNION SELECT c_custkey, c_nationkey, c_name FROM customer)"),
+    "or_join_semi": ("[:find ?c :where [?c :customer/c_name _] (or-join [?c] (and [?o :orders/o_custkey ?c] [?o :orders/o_orderpriority \"1-URGENT\"]) [?c :customer/c_mktsegment \"BUILDING\"])]", ["c"], "SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
+    "or_with_not": ("[:find ?o :where [?o :orders/o_custkey ?c] [?o :orders/o_totalprice ?t] (or [?o :orders/o_orderstatus \"O\"] (and [?o :orders/o_totalprice ?t] (not [?c :customer/c_mktsegment \"BUILDING\"])))]", ["o"], "SELECT o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' OR c_mktsegment <> 'BUILDING'"),
+    "agg_count": ("[:find (count ?o) :where [?o :orders/o_orderstatus \"F\"]]", ["n"], "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'"),
+    "agg_count_distinct": ("[:find (count-distinct ?c) :where [?o :orders/o_custkey ?c]]", ["n"], "SELECT count(DISTINCT o_custkey) AS n FROM orders"),
+    "agg_sum": ("[:find (sum ?z) :where [?p :part/p_size ?z]]", ["s"], "SELECT sum(p_size)::BIGINT AS s FROM part"),
+    "agg_sum_distinct": ("[:find ?b (sum-distinct ?z) :where [?p :part/p_size ?z] [?p :part/p_brand ?b]]", ["b", "s"], "SELECT p_brand AS b, sum(DISTINCT p_size)::BIGINT AS s FROM part GROUP BY 1"),
+    "agg_min_max": ("[:find ?b (min ?z) (max ?z) (min ?n) :where [?p :part/p_size ?z] [?p :part/p_brand ?b] [?p :part/p_name ?n]]", ["b", "lo", "hi", "first"], "SELECT p_brand AS b, min(p_size)::BIGINT AS lo, max(p_size)::BIGINT AS hi, min(p_name) AS first FROM part GROUP BY 1"),
+    "agg_grouped": ("[:find ?f ?s (count ?l) (sum ?q) :where [?l :lineitem/l_returnflag ?f] [?l :lineitem/l_linestatus ?s] [?l :lineitem/l_quantity ?q]]", ["f", "s", "n", "q"], "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2"),
+    "agg_with": ("[:find ?s (count ?o) :with ?pr :where [?o :orders/o_orderstatus ?s] [?o :orders/o_orderpriority ?pr]]", ["s", "n"], "SELECT s, n FROM (SELECT o_orderstatus AS s, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)"),
+    "agg_empty_count": ("[:find (count ?o) :where [?o :orders/o_orderstatus \"none\"]]", ["n"], "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'none'"),
+    "agg_empty_sum": ("[:find (sum ?t) :where [?o :orders/o_orderstatus \"none\"] [?o :orders/o_totalprice ?t]]", ["s"], "SELECT sum(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'none' HAVING count(*) > 0"),
+    "win_row_number": ("[:find ?o (row-number :over (:partition-by ?c :order-by ?o)) :where [?o :orders/o_custkey ?c]]", ["o", "n"], "SELECT o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders"),
+    "win_rank": ("[:find ?p (rank :over (:partition-by ?b :order-by ?z :desc)) :where [?p :part/p_brand ?b] [?p :part/p_size ?z]]", ["p", "r"], "SELECT p_partkey AS p, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r FROM part"),
+    "win_running_sum": ("[:find ?p (sum ?z :over (:partition-by ?b :order-by ?p)) :where [?p :part/p_brand ?b] [?p :part/p_size ?z]]", ["p", "s"], "SELECT p_partkey AS p, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM part"),
+    "win_running_count": ("[:find ?e (count ?u :over (:partition-by ?u :order-by ?e)) :where [?e :events/user_id ?u]]", ["e", "n"], "SELECT event_id AS e, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events"),
+    "win_running_min_max": ("[:find ?e (min ?v :over (:partition-by ?u :order-by ?e)) (max ?v :over (:partition-by ?u :order-by ?e)) :where [?e :events/user_id ?u] [?e :events/value ?v]]", ["e", "lo", "hi"], "SELECT event_id AS e, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"),
+    "win_running_avg": ("[:find ?p (avg ?z :over (:partition-by ?b :order-by ?p)) :where [?p :part/p_brand ?b] [?p :part/p_size ?z]]", ["p", "m"], "SELECT p_partkey AS p, avg(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS m FROM part"),
+    "mixed_agg_window": ("[:find ?s (count ?o) (row-number :over (:order-by ?s)) :where [?o :orders/o_orderstatus ?s]]", ["s", "n", "r"], "SELECT s, n, row_number() OVER (ORDER BY s) AS r FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)"),
+}
+_LOG = f"""WITH log AS (SELECT user_id::VARCHAR AS e, event_type AS v, epoch_us(ts) // 1000 AS tx_id, event_id + 1 AS tx_count, epoch_us(ts) // 1000 AS vf, epoch_us(ts) // 1000 + {WEEK} AS vt, event_id % 3 <> 0 AS asserted FROM events),
+cut AS (SELECT * FROM log WHERE {{cut}}), g AS (SELECT *, max(tx_count) FILTER (WHERE NOT asserted) OVER (PARTITION BY e, v) AS r FROM cut),
+k AS (SELECT *, row_number() OVER (PARTITION BY e, v, vf, vt ORDER BY tx_count DESC) AS n FROM g WHERE asserted AND (r IS NULL OR tx_count > r)), net AS (SELECT * FROM k WHERE n = 1) """
+#: name: (query, result columns, transaction filter, SQL over net)
+TEMPORAL: dict[str, tuple[str, list[str], str, str]] = {
+    "net_asserted": ("[:find ?e ?v :any-valid-time :where [?e :user/act ?v]]", ["e", "v"], "true", "SELECT e, v FROM net"),
+    "asof_counter": ("[:find ?e ?v :as-of 500 :any-valid-time :where [?e :user/act ?v]]", ["e", "v"], "tx_count <= 500", "SELECT e, v FROM net"),
+    "asof_ts": ("[:find ?v (count ?e) :as-of \"2024-01-20\" :any-valid-time :where [?e :user/act ?v]]", ["v", "n"], "tx_id <= epoch_ms(TIMESTAMP '2024-01-20')", "SELECT v, count(*) AS n FROM net GROUP BY 1"),
+    "valid_at": ("[:find ?e ?v :valid-at \"2024-01-15\" :where [?e :user/act ?v]]", ["e", "v"], "true", "SELECT e, v FROM net WHERE vf <= epoch_ms(TIMESTAMP '2024-01-15') AND vt > epoch_ms(TIMESTAMP '2024-01-15')"),
+    "any_valid_time": ("[:find ?v (count ?e) :valid-at :any-valid-time :where [?e :user/act ?v]]", ["v", "n"], "true", "SELECT v, count(*) AS n FROM net GROUP BY 1"),
+    "pseudo_attrs": ("[:find ?e ?v ?f ?t ?c ?i :any-valid-time :where [?e :user/act ?v] [?e :db/valid-from ?f] [?e :db/valid-to ?t] [?e :db/tx-count ?c] [?e :db/tx-id ?i]]", ["e", "v", "f", "t", "c", "i"], "true", "SELECT e, v, vf AS f, vt AS t, tx_count AS c, tx_id AS i FROM net"),
+    "interval_overlap": ("[:find ?e ?c :any-valid-time :where [?e :user/act ?v] [?e :db/valid-from ?f] [?e :db/valid-to ?t] [?e :db/tx-count ?c] [(< ?f 1706000000000)] [(> ?t 1705000000000)]]", ["e", "c"], "true", "SELECT e, tx_count AS c FROM net WHERE vf < 1706000000000 AND vt > 1705000000000"),
+    "prepared_asof": ("[:find ?e ?v :as-of $n :any-valid-time :where [?e :user/act ?v]]", ["e", "v"], "tx_count <= 700", "SELECT e, v FROM net"),
+}
+
+_TREE = "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey // 2 > 0), t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) "
+_UP = "(rule [(up ?x ?y) [?x :tree/parent ?y]]) (rule [(up ?x ?y) [?x :tree/parent ?z] (up ?z ?y)])"
+#: name: (rules, query, result columns, SQL)
+RULES: dict[str, tuple[str, str, list[str], str]] = {
+    "rule_nonrec": ("(rule [(big ?p) [?p :part/p_size ?z] [(> ?z 40)]])", "[:find ?p ?n :where (big ?p) [?p :part/p_name ?n]]", ["p", "n"], "SELECT p_partkey AS p, p_name AS n FROM part WHERE p_size > 40"),
+    "rule_multi_head": ("(rule [(odd ?p) [?p :part/p_size 1]]) (rule [(odd ?p) [?p :part/p_brand \"Brand#1\"]])", "[:find ?p :where (odd ?p)]", ["p"], "SELECT p_partkey AS p FROM part WHERE p_size = 1 OR p_brand = 'Brand#1'"),
+    "rule_recursive_tc": (_UP, "[:find ?x ?y :where (up ?x ?y)]", ["x", "y"], _TREE + "SELECT a AS x, b AS y FROM t"),
+    "rule_magic_bound": (_UP, "[:find ?y :where (up 150 ?y)]", ["y"], _TREE + "SELECT b AS y FROM t WHERE a = 150"),
+    "rule_bound_second": (_UP, "[:find ?x :where (up ?x 7)]", ["x"], _TREE + "SELECT a AS x FROM t WHERE b = 7"),
+    "rule_mutual": ("(rule [(even ?x) [?x :tree/parent 1]]) (rule [(odd ?x) [?x :tree/parent ?y] (even ?y)]) (rule [(even ?x) [?x :tree/parent ?y] (odd ?y)])", "[:find ?x :where (odd ?x)]", ["x"], "WITH RECURSIVE d(x, n) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey // 2 = 1 UNION SELECT p_partkey, n + 1 FROM part JOIN d ON p_partkey // 2 = x) SELECT DISTINCT x FROM d WHERE n % 2 = 1"),
+    "rule_stratified_not": (_UP + "(rule [(apart ?x) [?x :tree/parent ?y] (not (up ?x 3))])", "[:find ?x :where (apart ?x)]", ["x"], _TREE + "SELECT DISTINCT a AS x FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.a = e.a AND t.b = 3)"),
+    "rule_or_body": ("(rule [(near ?x ?y) (or [?x :tree/parent ?y] [?y :tree/parent ?x])])", "[:find ?x ?y :where (near ?x ?y)]", ["x", "y"], "WITH e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey // 2 > 0) SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e"),
+}
+
+
+def _plain(text: str, columns: list[str]) -> Query:
+    return lambda spark, sf_dir: database(spark, sf_dir).execute(f"(query {text})").to_df(columns)
+
+
+def _temporal(text: str, columns: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database(spark, facts=event_log(spark, sf_dir))
+        found = db.prepare(f"(query {text})").execute({"n": TxCount(700)}) if "$" in text else db.execute(f"(query {text})")
+        return found.df.select(*(F.col(f"`{c}`.s").alias(n) if k == "any" else F.col(f"`{c}`").alias(n) for c, n, k in zip(found.df.columns, columns, found.kinds, strict=True)))
+
+    return run
+
+
+def _rules(rules: str, text: str, columns: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = database(spark, sf_dir)
+        part = spark.read.parquet(f"{sf_dir}/part.parquet")
+        tree = part.select("p_partkey", F.expr("nullif(p_partkey div 2, 0L)").alias("parent"))
+        db.register("tree", tree, "p_partkey", {"parent": "tree"})
+        db.execute_script(rules)
+        return db.execute(f"(query {text})").to_df(columns)
+
+    return run
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    return queries()["flagship_segments"](spark, sf_dir)
+
+
+def udaf_geomean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir)
+    db.register_aggregate("geomean", lambda: 0.0, lambda s, x: s + math.log(x), lambda s, n: round(math.exp(s / n), 4))
+    return db.execute("(query [:find ?b (geomean ?r) (count ?p) :where [?p :part/p_brand ?b] [?p :part/p_retailprice ?r]])").to_df(["b", "g", "n"])
+
+
+def udaf_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir)
+    db.register_aggregate("widest", lambda: 0, lambda s, x: max(s, len(x)), lambda s, n: s, returns="int")
+    return db.execute("(query [:find ?n (widest ?m :over (:partition-by ?r :order-by ?n)) :where [?n :nation/n_regionkey ?r] [?n :nation/n_name ?m]])").to_df(["n", "w"])
+
+
+def udf_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir)
+    db.register_predicate("prime?", lambda x: x > 1 and all(x % d for d in range(2, math.isqrt(x) + 1)))
+    return db.execute("(query [:find ?p :where [?p :part/p_size ?z] [(prime? ?z)]])").to_df(["p"])
+
+
+def prepared_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = database(spark, sf_dir).prepare("(query [:find ?o ?t :where [?o :orders/o_orderstatus $st] [?o :orders/o_totalprice ?t] [(< ?t $max)]])")
+    return statement.execute({"st": "O", "max": 50000.0}).to_df(["o", "t"])
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    out = {k: _plain(text, columns) for k, (text, columns, _) in PLAIN.items()}
+    out |= {k: _temporal(text, columns) for k, (text, columns, _, _) in TEMPORAL.items()}
+    out |= {k: _rules(rules, text, columns) for k, (rules, text, columns, _) in RULES.items()}
+    return out | {f.__name__: f for f in (udaf_geomean, udaf_window, udf_predicate, prepared_value)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {k: sql for k, (*_, sql) in PLAIN.items()} | {k: sql for k, (*_, sql) in RULES.items()}
+    out |= {k: _LOG.format(cut=cut) + sql for k, (_, _, cut, sql) in TEMPORAL.items()}
+    primes = ", ".join(str(p) for p in range(2, 100) if all(p % d for d in range(2, math.isqrt(p) + 1)))
+    return out | {
+        "udaf_geomean": "SELECT p_brand AS b, round(exp(sum(ln(p_retailprice)) / count(*)), 4) AS g, count(*) AS n FROM part GROUP BY 1",
+        "udaf_window": "SELECT n_nationkey::BIGINT AS n, max(length(n_name)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) AS w FROM nation",
+        "udf_predicate": f"SELECT p_partkey AS p FROM part WHERE p_size IN ({primes})",
+        "prepared_value": "SELECT o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_orderstatus = 'O' AND o_totalprice < 50000",
+    }
