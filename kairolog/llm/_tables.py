@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kairolog.sources.shared import ship as ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
@@ -29,16 +29,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application; for steps that run in Python workers."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="kairolog-package-")  # the driver serves it
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-        _shipped.add(context.applicationId)
