@@ -116,8 +116,10 @@ def extract(page: str, weight: dict[str, float]) -> str:
     for i, (kind, text, left, _) in enumerate(seen):
         word = kind[0] == "w"
         x = weight.get(kind, 1.0 if word else -0.5)
-        if word:
-            x = (min(x, -0.5) if left else x) * len(text.split())
+        if left:  # it will not be written, so the region may cross it at little cost
+            x = 0.0 if word else -0.05
+        elif word:
+            x *= len(text.split())
         if total <= 0:
             total, begin = 0.0, i
         total += x
