@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SEGMENT = 4 << 20
+SEGMENT, PIECE = 4 << 20, 1 << 19
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -65,11 +65,11 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One hash per word, in segments of whole words so that memory follows the segment."""
+    """One hash per word, in pieces of whole words so that memory follows the piece."""
     out = np.empty(len(start), U)
     lo = 0
     while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SEGMENT, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + PIECE, side="right")))
         base = start[lo]
         out[lo:hi] = _hash_runs(data[base : end[hi - 1]].astype(U), _BYTE, start[lo:hi] - base, end[lo:hi] - base)
         lo = hi

@@ -30,7 +30,7 @@ from kairolog.llm._words import U, gram_hashes, mix, sized, split_words, utf8, w
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 BRANCH, SMALL, BLOCK, DEPTH, ALIKE = 3.0, 512, 1024, 4, 0.5
-COLUMNS = 8192
+COLUMNS, ROWS = 2048, 256
 LAST = (1 << 63) - 1
 
 
@@ -116,33 +116,45 @@ def _split(branch: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def linked(tokens: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets have the similarity, by counts of shared tokens."""
-    m, size = len(tokens), np.array(list(map(len, tokens)))
-    if m == 2:
-        both = len(np.intersect1d(*tokens, assume_unique=True))
-        yes = both >= threshold * (size.sum() - both) - 1e-9
-        return np.array([[False, yes], [yes, False]])
-    flat, owner = np.concatenate(tokens), np.repeat(np.arange(m), size)
+def shared(values: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share, over ``COLUMNS`` values at a time so that memory is bounded."""
+    m = len(values)
+    flat, owner = np.concatenate(values), np.repeat(np.arange(m), list(map(len, values)))
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
     new[1:] = flat[1:] != flat[:-1]
     number = np.cumsum(new) - 1
-    shared = np.bincount(number)[number] > 1
-    number = np.cumsum(new & shared)[shared] - 1
-    owner, shares = owner[shared], np.zeros((m, m), np.float32)
+    twice = np.bincount(number)[number] > 1 if len(flat) else new
+    number = np.cumsum(new & twice)[twice] - 1
+    owner, shares = owner[twice], np.zeros((m, m), np.float32)
     edges = np.searchsorted(number, np.arange(0, (number[-1] + 1 if len(number) else 0) + COLUMNS, COLUMNS))
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if lo < hi:
             grid = np.zeros((m, min(COLUMNS, number[hi - 1] + 1 - i * COLUMNS)), np.float32)
             grid[owner[lo:hi], number[lo:hi] - i * COLUMNS] = 1
             shares += grid @ grid.T
-    out = shares >= threshold * (size[:, None] + size[None, :] - shares) - 1e-6
+    return shares
+
+
+def linked(tokens: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets have the similarity, by counts of shared tokens."""
+    m, size = len(tokens), np.array(list(map(len, tokens)))
+    if m == 2:
+        both = len(np.intersect1d(*tokens, assume_unique=True))
+        yes = both >= threshold * (size.sum() - both) - 1e-9
+        return np.array([[False, yes], [yes, False]])
+    shares = shared(tokens)
+    out = by_rows(m, lambda r: shares[r] >= threshold * (size[r, None] + size[None, :] - shares[r]) - 1e-6)
     np.fill_diagonal(out, False)
     return out
 
 
+def by_rows(m: int, f: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """f over the m rows of a matrix, some at a time: wide temporaries of the whole would outweigh it."""
+    return np.concatenate([f(slice(a, a + ROWS)) for a in range(0, m, ROWS)])
+
+
 def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come by bucket and pair of blocks; each group is compared once it is complete."""
 
@@ -154,19 +166,13 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             yes &= side[:, None] != side[None, :]
         if not yes.any():
             return []
-        leaves = [np.asarray(g[6]) for g in group]
-        flat, owner = np.concatenate(leaves), np.repeat(np.arange(len(group)), list(map(len, leaves)))
-        less = flat < path
-        count = yes
-        if less.any():
-            _, number = np.unique(flat[less], return_inverse=True)
-            grid = np.zeros((len(group), number.max() + 1), np.float32)
-            grid[owner[less], number] = 1
-            count = yes & ~((grid @ grid.T) > 0)
-        links = count @ np.array([g[2] for g in group], np.int64)
+        less = [g[6][g[6] < path] for g in group]
+        count = yes & (shared(less) == 0) if any(map(len, less)) else yes
+        copies = np.array([g[2] for g in group], np.int64)
+        links = by_rows(len(group), lambda r: count[r] @ copies)
         least = np.array([g[3] for g in group], np.int64)
         while True:  # every pass carries the least id one link further
-            low = np.minimum(least, np.where(yes, least[None, :], LAST).min(1))
+            low = np.minimum(least, by_rows(len(group), lambda r, ids=least: np.where(yes[r], ids[None, :], LAST).min(1)))
             if (low == least).all():
                 break
             least = low
