@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ TABLES = {
 def database(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> Database:
     db = Database(spark, facts=facts)
     for name, (key, refs) in TABLES.items():
-        db.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, refs)
+        db.register(name, partial(spark.read.parquet, f"{sf_dir}/{name}.parquet"), key, refs)
     return db
 
 

@@ -164,8 +164,8 @@ class Database:
         self.aggregates: dict[str, tuple[Callable, str]] = {}
         self.limits = {":max-derived-facts": max_derived_facts, ":max-results": max_results}
 
-    def register(self, name: str, df: DataFrame, key: str | None = None, refs: Mapping[str, str] | None = None) -> None:
-        self.relations[name] = Relation(name, df, key, refs or {})
+    def register(self, name: str, source: DataFrame | Callable[[], DataFrame], key: str | None = None, refs: Mapping[str, str] | None = None) -> None:
+        self.relations[name] = Relation(name, source, key, refs or {})
 
     def register_aggregate(self, name: str, init: Callable[[], Any], step: Callable[[Any, Any], Any], finalise: Callable[[Any, int], Any], returns: str = "float") -> None:
         """``step`` returns the new state; nil is skipped. Runs in Python, a group at a time."""

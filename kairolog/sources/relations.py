@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,20 @@ from kairolog.functions.values import Val
 
 @dataclass(frozen=True)
 class Relation:
-    """``refs``: columns that hold keys of other relations. Without a key, an entity is a hash of the whole row."""
+    """``refs``: columns that hold keys of other relations. Without a key, an entity is a hash of the whole row.
+
+    ``source`` may be a function; it is called when a query first names the table, so the others cost no file listing.
+    """
 
     name: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     key: str | None = None
     refs: Mapping[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
     def entity(self) -> Val:
         if self.key is None:
             return Val(f"ent:{self.name}", F.xxhash64(*(F.col(f"`{c}`") for c in self.df.columns)))
