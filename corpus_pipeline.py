@@ -7,10 +7,11 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kairolog.llm._tables import load, materialize
 from kairolog.llm.decontamination import decontaminated
-from kairolog.llm.line_dedup import line_dedup
+from kairolog.llm.line_dedup import run_dedup
 from kairolog.llm.ngram_join import one_of_each
 from kairolog.llm.packing import pack
 from kairolog.llm.quality import clean
@@ -22,11 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup(docs)
+    return run_dedup(docs)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    # what line dedup emptied stands elsewhere line by line; without words it would be a group of its own
+    return one_of_each(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

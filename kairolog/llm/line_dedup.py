@@ -12,6 +12,11 @@ all documents costs one row per task. All steps are DataFrame code.
 Cases: a null text stays null; an empty one stays empty; rows repeated whole stand
 in one place and all keep what it keeps; a null id sorts before the others; extra columns pass through; an empty table
 gives an empty result. A line is what stands between ``\\n``.
+
+Chunks leave the ends of repeated blocks, and blocks cut into chunks of one line: the rule of ``line_dedup`` and its SQL.
+``run_dedup``, which the pipeline takes, leaves none of a repeated run of two or more lines with words. Each pair of
+successive lines with words (and blank lines between) is removed everywhere but at its first place, so all of a run goes
+at every place but the first of its pairs, and no line loses its first place. Pairs are told apart by SHA-256.
 """
 
 from __future__ import annotations
@@ -70,6 +75,34 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     return out.select(*names)
 
 
+def pair_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, __row, first, last, digest: for each pair of successive lines with words."""
+    out = docs.select("doc_id", F.xxhash64("text").alias("__row"), F.split("text", "\n").alias("__lines"))
+    inked = "filter(transform(__lines, (x, i) -> IF(x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]', i, -1)), i -> i >= 0)"
+    out = out.select(*ROW, "__lines", F.expr(inked).alias("__inked"))
+    out = out.select(*ROW, "__lines", F.expr("inline(transform(slice(__inked, 2, size(__inked)), (b, j) -> struct(__inked[j] AS first, b AS last)))"))
+    return out.select(*ROW, "first", "last", F.unhex(F.sha2(F.expr("array_join(slice(__lines, first + 1, last - first + 1), '\n')").cast("binary"), 256)).alias("digest"))
+
+
+def run_dedup(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with text (and n_chars, if there is one) without the repeated runs of lines."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows, place = pair_rows(docs), F.struct("doc_id", "__row", "first")
+    known = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n > 1").select("digest", "at")
+    gone = rows.join(known, "digest").where(~place.eqNullSafe(F.col("at"))).groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__pairs"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__gone_row"), "__pairs")
+    out = docs.select(*names, F.xxhash64("text").alias("__row"))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__gone_row")), "left")
+    # what stands before the first pair and after each one up to the next
+    after = "flatten(transform(__pairs, (p, j) -> slice(__lines, p.last + 2, greatest(coalesce(get(__pairs, j + 1).first, size(__lines)) - p.last - 1, 0))))"
+    out = out.withColumn("__lines", F.when(F.col("__pairs").isNotNull(), F.split("text", "\n")))
+    lines = F.concat(F.expr("slice(__lines, 1, __pairs[0].first)"), F.expr(after))
+    out = out.withColumn("text", F.when(F.col("__pairs").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__pairs").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
+
+
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept_lines, kept_sha256 of each document's text after the removal."""
     out = line_dedup(docs.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("__before")))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from kairolog.llm import html_extraction, ngram_join, packing, quality, sharding, substring_dedup, toxicity, url_filters
 from kairolog.llm import decontamination as deco
 from kairolog.llm import line_dedup as lines
@@ -97,6 +98,33 @@ def test_line_dedup(docs, rows):
     assert lines.line_dedup(docs).columns == docs.columns
 
 
+def test_repeated_runs(spark, docs, rows):
+    def pairs(text):
+        all_lines = text.split("\n")
+        inked = [i for i, x in enumerate(all_lines) if split(x)]
+        return [(a, b, "\n".join(all_lines[a : b + 1])) for a, b in zip(inked, inked[1:], strict=False)]
+
+    block = [f"line {i} of the block" for i in range(9)]
+    more = [(i, "\n".join(x), "en", "s", 0) for i, x in enumerate([["a b", *block, "c d"], block, ["e f", *block[2:6], "", "g h"], [*block[:2], "", " ", block[2]], ["", block[0], "", "i j"], ["k"] * 5, ["k", "", "k"]], 100)]
+    first, every = {}, [*rows, *more]
+    for i, t in sorted({(i, t) for i, t, *_ in every if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for a, _, x in pairs(t):
+            first.setdefault(x, (i, t, a))
+    want = []
+    for i, t, *_ in every:
+        gone = set() if t is None else {x for a, b, p in pairs(t) if first[p] != (i, t, a) for x in range(a, b + 1)}
+        want.append((i, None if t is None else "\n".join(x for a, x in enumerate(t.split("\n")) if a not in gone)))
+    table = docs.union(spark.createDataFrame([(*r, "x", "x", "x", "x", "x") for r in more], SCHEMA))
+    got = corpus_pipeline.dedup_lines(spark, table, "")
+    assert got.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    kept = dict(want)
+    assert kept[101] == "" and kept[102] == "e f\n\ng h" and kept[105] == "k" and kept[6].startswith("after ")
+    left = {r.doc_id for r in corpus_pipeline.join_ngrams(spark, got, "").collect()}
+    assert 100 in left and not {7, 8, 9, 101} & left
+    assert all(r.n_chars == len(r.text) for r in got.where("doc_id in (6, 101, 102)").collect())
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
