@@ -2,8 +2,8 @@
 
 A page becomes a sequence of words and tags. Words score by the kind of element they stand in, tags by their name;
 the scores are log odds of standing within or outside the main text, counted on labelled pages: a bounded sample
-(``SAMPLE`` pages at most, smallest hashes first) of those that mark their main text as ``<article>``. Tags score below
-zero. One linear scan finds the contiguous region with the largest sum; what it holds of menus, forms, adverts,
+(``SAMPLE`` pages at most, smallest hashes first) of those that mark their main text as ``<article>``. Words score above
+zero and tags below; what is left out anyway is not counted. One linear scan finds the contiguous region with the largest sum; what it holds of menus, forms, adverts,
 scripts, reader comments and the like is left out, and the rest is written block by block.
 
 Cases: a null, empty or wordless page has an empty text; unclosed comments and scripts run to the end of the page; a
@@ -73,6 +73,7 @@ def tokens(page: str) -> Iterator[Token]:
         if name in INLINE:
             continue
         if closing:
+            was = out > 0  # the end of an element that is left out is left out with it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0].split(".")[0] == name:
                     for kind, left in stack[i:]:
@@ -81,6 +82,7 @@ def tokens(page: str) -> Iterator[Token]:
                     del stack[i:]
                     break
             block = stack[-1][0] if stack else "body"
+            yield f"t:/{name}", " ", was, inside > 0
         else:
             words = " ".join(a or b or c for a, b, c in NAMED.findall(m[3])) if m[3] else ""
             left = name in OUTSIDE or name == "header" and not inside or bool(words and name not in ("body", "html", "article", "main") and FURNITURE.search(words))
@@ -89,23 +91,24 @@ def tokens(page: str) -> Iterator[Token]:
                 out += left
                 inside += name == "article"
             block = name if name not in VOID else block
-        yield f"t:{'/' if closing else ''}{name}", " ", out > 0, inside > 0
+            yield f"t:{name}", " ", out > 0, inside > 0
 
 
 def counts(page: str) -> Counter[tuple[str, bool]]:
-    """Of a labelled page: how many words and tags of each kind stand within the main text and outside it."""
+    """Of a labelled page: how many words and tags of each kind stand within the main text and outside it, of those written."""
     found: Counter[tuple[str, bool]] = Counter()
-    for kind, text, _, inside in tokens(page):
-        found[kind, inside] += len(text.split()) if kind[0] == "w" else 1
+    for kind, text, left, inside in tokens(page):
+        if not left:
+            found[kind, inside] += len(text.split()) if kind[0] == "w" else 1
     return found
 
 
 def weights(within: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Log odds, smoothed; tags stay below zero."""
+    """Log odds, smoothed; words stay above zero, tags below."""
     out = {}
     for kind in {*within, *outside}:
         odds = math.log((within.get(kind, 0) + 1) / (outside.get(kind, 0) + 1))
-        out[kind] = max(-4.0, min(3.0, odds)) if kind[0] == "w" else max(-4.0, min(-0.05, odds))
+        out[kind] = max(0.05, min(3.0, odds)) if kind[0] == "w" else max(-4.0, min(-0.05, odds))
     return out
 
 
@@ -125,7 +128,7 @@ def extract(page: str, weight: dict[str, float]) -> str:
         total += x
         if total > best:
             best, lo, hi = total, begin, i + 1
-    return " ".join(entities.unescape("".join(text for _, text, left, _ in seen[lo:hi] if not left)).split())
+    return " ".join(entities.unescape("".join(text for kind, text, left, _ in seen[lo:hi] if kind[0] == "t" or not left)).split())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

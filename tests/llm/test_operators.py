@@ -206,6 +206,17 @@ def test_html():
     assert html_extraction.extract("", {}) == "" and html_extraction.extract("<script>x", {}) == "" and html_extraction.extract("plain", {}) == "plain"
 
 
+def test_html_lists_in_an_article():
+    menu = "<nav><ul>" + "<li><a href='/x'>Menu word</a></li>" * 8 + "</ul></nav>"
+    learned = html_extraction.weights(*({k: n for (k, x), n in html_extraction.counts(f"<body>{menu}<article><h1>Head</h1><p>{'word ' * 50}</p></article><footer>Foot</footer></body>").items() if x is i} for i in (True, False)))
+    assert all((x > 0) == (k[0] == "w") for k, x in learned.items()) and "w:li" not in learned and "t:/nav" not in learned
+    items = "<ul>" + "".join(f"<li>item number {i} of it</li>" for i in range(60)) + "</ul>"
+    said = " ".join(f"item number {i} of it" for i in range(60))
+    assert html_extraction.extract(f"<body>{menu}<article><p>one two</p>{items}<p>three four</p></article><footer>Foot</footer></body>", learned) == f"one two {said} three four"
+    assert html_extraction.extract(f"<body>{menu}<article><p>one two</p>{items}</article><footer>Foot</footer></body>", learned) == f"one two {said}"
+    assert html_extraction.extract("<article><p>one two<nav>x</nav>three four</p></article>", {}) == "one two three four"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a b</p></article><footer>no</footer>", "x"), (1, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_extraction.extract_pages(pages).collect()), key=str) == [(1, "", 0), (1, "a b", 3), (None, "", 0)]
