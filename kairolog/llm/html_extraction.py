@@ -26,14 +26,24 @@ from pyspark.sql import functions as F
 from kairolog.llm._tables import ship
 
 SAMPLE = 2000
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
-OUTSIDE = frozenset("nav footer aside form button select menu dialog head figure".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msup msub object".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+OUTSIDE = frozenset("nav footer aside form button select menu head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMED = re.compile(r"(?i)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 FURNITURE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|nav\w*|menu|breadcrumbs?|header|masthead|footer|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|respond|replies|login|search)(?:$|[\s_-])")
+CLASS = re.compile(r"(?i)(?<![^\s\"'])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+CONTAINERS = frozenset("div ul ol dl table".split())  # within an article, only these can be furniture, by a whole class
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>")
 
+def furniture(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is furniture by its attributes; ``inside``: within an article, where only a container is."""
+    if inside:
+        return name in CONTAINERS and any(FURNITURE.fullmatch(x) for a, b, c in CLASS.findall(attributes) for x in (a or b or c).split())
+    words = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if attributes else ""
+    return bool(words and name not in ("body", "html", "article", "main") and FURNITURE.search(words))
+
+
 Token = tuple[str, str, bool, bool]  # what it scores by, text (of words), left out, in the labelled main text
 
 
@@ -66,7 +76,7 @@ def tokens(page: str) -> Iterator[Token]:
                 at = lt + 1
             continue
         at, closing, name = m.end(), bool(m[1]), m[2].lower()
-        if name in RAW and not closing:
+        if name in RAW and not closing and not (m[3].endswith("/") and any(k == "svg" for k, _ in stack)):  # only foreign elements close themselves
             end = re.compile(f"(?i)</{re.escape(name)}[^>]*>").search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -84,9 +94,8 @@ def tokens(page: str) -> Iterator[Token]:
             block = stack[-1][0] if stack else "body"
             yield f"t:/{name}", " ", was, inside > 0
         else:
-            words = " ".join(a or b or c for a, b, c in NAMED.findall(m[3])) if m[3] else ""
-            left = name in OUTSIDE or name == "header" and not inside or bool(words and name not in ("body", "html", "article", "main") and FURNITURE.search(words))
-            if name not in VOID and not m[3].endswith("/") and (left or name in ("article", "main", "section", "div", "header", "table", "ul", "ol", "blockquote", "body")):
+            left = name in OUTSIDE or name in ("header", "dialog") and not inside or furniture(name, m[3], inside > 0)
+            if name not in VOID and not m[3].endswith("/") and (left or name in ("article", "main", "section", "div", "header", "table", "ul", "ol", "blockquote", "body", "svg", "dialog")):
                 stack.append((name + (".furniture" if left else ""), left))
                 out += left
                 inside += name == "article"

@@ -217,6 +217,18 @@ def test_html_lists_in_an_article():
     assert html_extraction.extract("<article><p>one two<nav>x</nav>three four</p></article>", {}) == "one two three four"
 
 
+def test_html_content_of_an_article():
+    for part, said in (
+        ("<figure><pre>some code here</pre><figcaption>a caption of it</figcaption></figure>", "some code here a caption of it"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"), ("<object><p>instead of it</p></object>", "instead of it"), ("<dialog open><p>say it now</p></dialog>", "say it now"),
+        ("<svg><title/><text>drawn words</text></svg>", "drawn words"), ("<svg/><p>after it all</p>", "after it all"), ("<p>so <math/> on <object/>it goes</p>", "so on it goes"),
+        ("<section id='related-work'><p>work of others</p></section>", "work of others"), ("<h2 id=search>how we search</h2>", "how we search"), ("<div class='share-prices'>share prices fell</div>", "share prices fell"),
+        ("<div class='wide ad'>buy it now</div>", ""), ("<ul class=breadcrumbs><li>one up here</li></ul>", ""),
+    ):
+        assert html_extraction.extract(f"<article><p>one two three four</p>{part}<p>five six seven eight</p></article>", {}) == f"one two three four {said} five six seven eight".replace("  ", " ")
+    assert html_extraction.extract("<p>one two three</p><dialog>log in</dialog><div id='share-box'>tell them all</div>", {}) == "one two three"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a b</p></article><footer>no</footer>", "x"), (1, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_extraction.extract_pages(pages).collect()), key=str) == [(1, "", 0), (1, "a b", 3), (None, "", 0)]
