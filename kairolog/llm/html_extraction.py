@@ -34,7 +34,7 @@ NAMED = re.compile(r"(?i)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 FURNITURE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|nav\w*|menu|breadcrumbs?|header|masthead|footer|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|respond|replies|login|search)(?:$|[\s_-])")
 CLASS = re.compile(r"(?i)(?<![^\s\"'])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 CONTAINERS = frozenset("div ul ol dl table".split())  # within an article, only these can be furniture, by a whole class
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>")  # a quote opens a string right after = only
 
 def furniture(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element is furniture by its attributes; ``inside``: within an article, where only a container is."""

@@ -229,6 +229,14 @@ def test_html_content_of_an_article():
     assert html_extraction.extract("<p>one two three</p><dialog>log in</dialog><div id='share-box'>tell them all</div>", {}) == "one two three"
 
 
+def test_html_stray_quotes():
+    for tag in ("<p title=it's>", '<p title="5" tall">', "<p it's>", '<p title= "a > b">', "<p title='a > \"b'>", '<p title=">'):
+        for end in ("", "<p>it's \"so\" now</p>")[: 1 if tag.endswith('=">') else 2]:
+            page = f"<article><p>one two three</p>{tag}four five six</p>{end}</article>"
+            assert html_extraction.extract(page, {}) == "one two three four five six" + (" it's \"so\" now" if end else ""), page
+    assert html_extraction.extract("<p " + "a='b\"=" * 20000, {}) == ""
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a b</p></article><footer>no</footer>", "x"), (1, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_extraction.extract_pages(pages).collect()), key=str) == [(1, "", 0), (1, "a b", 3), (None, "", 0)]
