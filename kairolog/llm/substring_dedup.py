@@ -87,12 +87,12 @@ def _fetch(window: int, phrase: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             w = Windows(batch.column("text"), window, phrase)
             wanted = np.unique(batch.column("own").flatten().to_numpy().view(np.uint64))
             at = np.flatnonzero(np.isin(w.grams, wanted))
+            # a run of words over the edge of two documents is no phrase; whole places may follow it
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
+            at = at[doc[at] == doc[at + phrase - 1]]
             got, first = np.unique(w.grams[at], return_index=True)
             texts = [b" ".join(w.words(p, p + phrase)) for p in at[first].tolist()]
-            # a run of words over the edge of two documents has the hash of no phrase but by chance; both ends decide
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
-            whole = doc[at[first]] == doc[at[first] + phrase - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(got[whole].view(np.int64)), pa.array([t for t, x in zip(texts, whole, strict=True) if x], pa.binary())], ["phrase", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(texts, pa.binary())], ["phrase", "body"])
 
     return run
 

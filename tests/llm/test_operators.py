@@ -71,6 +71,16 @@ def test_substring_dedup(docs, rows):
     assert sum(w[2] for w in want) > 100
 
 
+def test_substring_phrase_over_an_edge():
+    import pyarrow as pa
+
+    texts = pa.array(["a b" + " same" * 5, "same " * 60])
+    own = substring_dedup.Windows(texts, 50, 12).chosen[:1].view("int64").tolist()
+    batch = pa.RecordBatch.from_arrays([texts, pa.array([[], own], pa.list_(pa.int64()))], ["text", "own"])
+    (got,) = substring_dedup._fetch(50, 12)(iter([batch]))
+    assert got.to_pylist() == [{"phrase": own[0], "body": b" ".join([b"same"] * 12)}]
+
+
 def test_line_dedup(docs, rows):
     def chunks(text):
         out, cur, h = [], [], [0, 0]
