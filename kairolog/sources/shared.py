@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,16 +11,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A fresh local one only where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="kairolog-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` and read back; a local folder only where that is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="kairolog-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back."""
+    path = f"{folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
@@ -30,6 +37,6 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="kairolog-package-")  # the driver serves it
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        local = tempfile.mkdtemp(prefix="kairolog-package-")  # the driver serves it
+        context.addPyFile(shutil.make_archive(f"{local}/{package.name}", "zip", package.parent, package.name))
         _shipped.add(context.applicationId)
