@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kairolog.sources.shared import folder
 from kairolog.sources.shared import ship as ship
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="kairolog-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+class Scratch:
+    """The intermediate tables of one run, in a folder of their own below ``spark.checkpoint.dir``.
+
+    Tables that nothing reads any more go at once (``drop``); those behind a lazy result go when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        self._place = jvm.org.apache.hadoop.fs.Path
+        self._files = self._place(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(self.drop)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back: lineage is cut and lost executors cost nothing."""
+        path = f"{self.path}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables, or all."""
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            with contextlib.suppress(Exception):  # a table that stays costs room only, and at the end the JVM may be gone
+                self._files.delete(self._place(path), True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table of its own."""
+    return Scratch(df.sparkSession, name).write(df, "rows")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

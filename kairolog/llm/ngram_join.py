@@ -6,13 +6,20 @@ and goes into a bucket for each; buckets of more than ``SMALL`` sets are split a
 their sets are so alike that a split doesn't shrink them; the rest is compared by brute force within the bucket, large
 ones in blocks of bounded size. ``runs_for`` gives the number of runs for the target recall of pairs at the threshold.
 
-Buckets with the same members are compared once. A pair counts in the least bucket that it shares, so its link is
-counted once without any table of pairs: each comparison returns a row per set, with its number of links, weighted
-by class sizes, and the group that it is connected to. Groups of different buckets are then merged by their least id.
+Before tokens travel, a bucket's sets are screened by their sizes and odd sketches: a bit map, of about one bit for a
+token, in which every token flips one bit. A token that two sets don't share flips at most one bit of the difference,
+so two sketches differ in no more bits than the sets in tokens, and what the similarity allows there is known from the
+sizes: the screen loses no pair. Only sets with a possible partner in a bucket go on; buckets that then hold the same
+sets are compared once.
+
+A pair counts in the least bucket that it shares, so its link is counted once without any table of pairs: each
+comparison returns a row per set, with its number of links, weighted by class sizes, and the group that it is
+connected to. Groups of different buckets are then merged by their least id.
 
 Cases: null or wordless texts have no shingles, no links, and are their own class; repeated rows and copies are
-links of one another; rows of one id are told apart by their sets; null ids come after all others (class_id null if
-alone); extra columns pass through ``one_of_each``; an empty table gives an empty result.
+links of one another; rows of one id are told apart by their sets; null ids come after all others, and a class of null
+ids alone has a null class_id; extra columns, of any name, pass through ``one_of_each``; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairolog.llm._tables import materialize, ship
+from kairolog.llm._tables import Scratch, fresh, ship
 from kairolog.llm._words import U, gram_hashes, mix, sized, split_words, utf8, word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 BRANCH, SMALL, BLOCK, DEPTH, ALIKE = 3.0, 512, 1024, 4, 0.5
 COLUMNS, ROWS = 2048, 256
-LAST = (1 << 63) - 1
+SKETCHED, CELLS = U(0xA0761D6478BD642F), 1 << 21
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, branch: float = BRANCH, depth: int = DEPTH) -> int:
@@ -69,6 +76,17 @@ def chosen(paths: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, branch: flo
     return picked, mix(draw[picked] ^ U(0x5851F42D4C957F2D))
 
 
+def sketches(sets: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The odd sketch of each set: as many bits as the next power of two, 64 at least."""
+    size = np.diff(ends)
+    bits = 1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64)
+    begin = np.cumsum(bits) - bits
+    at = np.repeat(begin, size) + (mix(sets ^ SKETCHED) & (np.repeat(bits, size) - 1).astype(U)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+    body, offsets = np.packbits(odd, bitorder="little"), np.concatenate([[0], np.cumsum(bits // 8)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
+
+
 def _survey(k: int, runs: int, branch: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "text"):
@@ -87,7 +105,7 @@ def _survey(k: int, runs: int, branch: float) -> Callable[[Iterator[pa.RecordBat
             order = np.argsort(docs, kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(docs[order], np.arange(len(size) + 1)), pa.int32()), pa.array(paths[order].view(np.int64)))
             keys = pa.array([x.tobytes() for x in sums], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), batch.column("row"), keys, pa.array(size.astype(np.int64)), lists], ["doc_id", "doc", "row", "key", "n", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), keys, pa.array(size.astype(np.int64)), lists, sketches(sets, ends)], ["doc_id", "at", "key", "n", "paths", "sketch"])
 
     return run
 
@@ -97,7 +115,7 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in sized(batches, "text"):
             sets, ends = shingle_sets(batch.column("text"), k)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), batch.column("least"), lists], ["key", "copies", "least", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), batch.column("first"), lists], ["key", "copies", "first", "tokens"])
 
     return run
 
@@ -116,6 +134,68 @@ def _split(branch: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def partners(sets: list[bytes], size: np.ndarray, side: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which sets may have the similarity to another one of them (of another side), by sizes and sketches."""
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], None if side is None else side[order]
+    width = np.array([len(sets[i]) for i in order])
+    found = np.zeros(len(order), bool)
+    for w in np.unique(width).tolist():  # sizes ascend, so each width is a stretch; the next one is folded to it
+        a, b = np.searchsorted(width, [w, w + 1])
+        c = np.searchsorted(width, 2 * w + 1)
+        words = w // 8
+        rows = np.frombuffer(b"".join([sets[i] for i in order[a:b]]), U).reshape(b - a, words)
+        wide = np.frombuffer(b"".join([sets[i] for i in order[b:c]]), U).reshape(c - b, 2, words)
+        all_rows = np.concatenate([rows, wide[:, 0] ^ wide[:, 1]])
+        step = max(1, CELLS // ((c - a) * words))
+        for lo in range(a, b, step):
+            hi = min(b, lo + step)
+            last = min(c, int(np.searchsorted(size, size[hi - 1] / threshold + 1e-6, side="right")))
+            differ = np.bitwise_count(all_rows[lo - a : hi - a, None, :] ^ all_rows[None, lo - a : last - a, :]).sum(2, dtype=np.int64)
+            both = size[lo:hi, None] + size[None, lo:last]
+            yes = (differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6) & (size[None, lo:last] * threshold <= size[lo:hi, None] + 1e-6)
+            yes &= np.arange(lo, hi)[:, None] < np.arange(lo, last)[None, :]
+            if side is not None:
+                yes &= side[lo:hi, None] != side[None, lo:last]
+            found[lo:hi] |= yes.any(1)
+            found[lo:last] |= yes.any(0)
+    out = np.zeros(len(order), bool)
+    out[order] = found
+    return out
+
+
+def _screen(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by bucket and pair of blocks; those with a possible partner go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def judged() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            side = rows["block"].to_numpy() if rows["i"][0] != rows["j"][0] else None
+            yes = partners(rows["sketch"].to_pylist(), rows["n"].to_numpy(), side, threshold)
+            held.clear()
+            return rows.drop_columns(["n", "sketch"]).filter(pa.array(yes))
+
+        out: list[pa.Table] = []
+        for batch in batches:
+            path, i, j = (batch.column(k).to_numpy() for k in ("path", "i", "j"))
+            cuts = [0, *(np.flatnonzero((path[1:] != path[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and any(held[0].column(k)[0] != batch.column(k)[lo] for k in ("path", "i", "j")):
+                    out.append(judged())
+                held.append(batch.slice(lo, hi - lo))
+            if len(out) > 1000:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out = []
+        if held:
+            out.append(judged())
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return run
+
+
 def shared(values: list[np.ndarray]) -> np.ndarray:
     """How many values each two of the sets share, over ``COLUMNS`` values at a time so that memory is bounded."""
     m = len(values)
@@ -157,9 +237,10 @@ def by_rows(m: int, f: Callable[[slice], np.ndarray]) -> np.ndarray:
 
 def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come by bucket and pair of blocks; each group is compared once it is complete."""
+    label = pa.struct([("nul", pa.bool_()), ("id", pa.int64())])
 
     def compare(group: list[tuple]) -> list[tuple]:
-        path, _, i, j = group[0][0]
+        path, i, j = group[0][0]
         yes = linked([g[4] for g in group], threshold)
         side = np.array([g[5] for g in group])
         if i != j:
@@ -170,32 +251,34 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         count = yes & (shared(less) == 0) if any(map(len, less)) else yes
         copies = np.array([g[2] for g in group], np.int64)
         links = by_rows(len(group), lambda r: count[r] @ copies)
-        least = np.array([g[3] for g in group], np.int64)
+        names = sorted({g[3] for g in group})
+        number = {name: x for x, name in enumerate(names)}
+        least = np.array([number[g[3]] for g in group])
         while True:  # every pass carries the least id one link further
-            low = np.minimum(least, by_rows(len(group), lambda r, ids=least: np.where(yes[r], ids[None, :], LAST).min(1)))
+            low = np.minimum(least, by_rows(len(group), lambda r, ids=least: np.where(yes[r], ids[None, :], len(names)).min(1)))
             if (low == least).all():
                 break
             least = low
-        return [(g[1], int(links[x]), int(least[x])) for x, g in enumerate(group) if yes[x].any()]
+        return [(g[1], int(links[x]), names[least[x]]) for x, g in enumerate(group) if yes[x].any()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
 
         def write() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["key", "links", "least"])
+            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([{"nul": x[2][0], "id": x[2][1]} for x in out], label)], ["key", "links", "least"])
             out.clear()
             return batch
 
         for batch in batches:
             get = {k: batch.column(k) for k in batch.schema.names}
-            groups = zip(*(get[k].to_pylist() for k in ("path", "i", "j")), strict=True)
-            for x, (path, i, j) in enumerate(groups):
-                head = (path, 0, i, j)
+            groups = zip(*(get[k].to_pylist() for k in ("path", "i", "j", "nul", "id")), strict=True)
+            for x, (path, i, j, nul, number) in enumerate(groups):
+                head = (path, i, j)
                 if held and held[0][0] != head:
                     out += compare(held)
                     held = []
-                held.append((head, get["key"][x].as_py(), get["copies"][x].as_py(), get["first"][x].as_py(), get["tokens"][x].values.to_numpy(), get["block"][x].as_py(), get["leaves"][x].values.to_numpy()))
+                held.append((head, get["key"][x].as_py(), get["copies"][x].as_py(), (nul, number), get["tokens"][x].values.to_numpy(), get["block"][x].as_py(), get["leaves"][x].values.to_numpy()))
             if len(out) > 50_000:
                 yield write()
         if held:
@@ -210,72 +293,112 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("members"))
 
 
-def leaves(sets: DataFrame, first: DataFrame, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """path, key, members: the sets in each bucket that is to be compared. ``first``: path, key, members of level 1."""
-    done, large = first.where(F.col("members") <= small), first.where(F.col("members") > small)
+def leaves(scratch: Scratch, sets: DataFrame, large: DataFrame, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """path, key, members: the sets in each bucket that is to be compared. ``large``: path, key, members of level 1; ``sets``: their tokens."""
+    done = large.limit(0)
     for level in range(2, depth + 1):
         if large.isEmpty():
-            return done.select("path", "key", "members")
+            break
         parents = large.select("path", "members").distinct().select(F.col("path").alias("parent"), F.col("members").alias("before"))
-        below = materialize(large.select("path", "key").join(sets.select("key", "tokens"), "key").select("path", "key", "tokens").mapInArrow(_split(branch), "parent long, path long, key binary"), f"join-level-{level}")
+        below = scratch.write(large.select("path", "key").join(sets.select("key", "tokens"), "key").select("path", "key", "tokens").mapInArrow(_split(branch), "parent long, path long, key binary"), f"level-{level}")
         size = below.groupBy("parent", "path").agg(F.count("*").alias("members"))
         dense = size.groupBy("parent").agg(F.max("members").alias("most")).join(parents, "parent").where(F.col("most") > ALIKE * F.col("before")).select("parent")
-        stay = large.join(dense.select(F.col("parent").alias("path")), "path", "left_semi")
+        stay = large.join(dense.select(F.col("parent").alias("path")), "path", "left_semi").select("path", "key", "members", F.lit(True).alias("done"))
         size = size.where("members > 1").join(dense, "parent", "left_anti")
-        below = materialize(below.join(size, ["parent", "path"]).select("path", "key", "members"), f"join-split-{level}")
-        done = done.unionByName(stay.select("path", "key", "members")).unionByName(below.where(F.col("members") <= small))
-        large = below.where(F.col("members") > small)
+        split = below.join(size, ["parent", "path"]).select("path", "key", "members", (F.col("members") <= small).alias("done"))
+        rows = scratch.write(split.unionByName(stay), f"split-{level}")
+        scratch.drop(f"level-{level}")
+        done, large = done.unionByName(rows.where("done").drop("done")), rows.where("NOT done").drop("done")
     return done.unionByName(large).select("path", "key", "members")
 
 
-def components(rows: DataFrame) -> DataFrame:
+def screened(leaf: DataFrame, sketch: DataFrame, threshold: float, block: int) -> DataFrame:
+    """path, i, j, block, key: of each bucket and pair of its blocks, the sets with a possible partner there."""
+    parts = f"CAST(ceil(members / {block}) AS INT)"
+    rows = leaf.select("path", "key", F.expr(f"CAST(pmod(xxhash64(key), {parts}) AS INT)").alias("block"), F.expr(parts).alias("blocks"))
+    rows = rows.join(sketch.select("key", "n", "sketch"), "key")
+    rows = rows.select("path", "key", "block", "n", "sketch", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    rows = rows.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "sketch")
+    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_screen(threshold), "path long, i int, j int, block int, key binary")
+
+
+def components(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """key, least: the least id of everything reached, from (key, least) rows that each tie a key to a group's least id."""
     names = rows.groupBy("key").agg(F.min("least").alias("least"))
-    while True:
+    for turn in range(1 << 20):
         # ids of groups that a key ties together take the least of them, then keys follow
         moved = rows.join(names.withColumnRenamed("least", "low"), "key").groupBy("least").agg(F.min("low").alias("low"))
-        after = materialize(rows.join(moved, "least").groupBy("key").agg(F.min("low").alias("least")), "join-groups")
+        after = scratch.write(rows.join(moved, "least").groupBy("key").agg(F.min("low").alias("least")), f"groups-{turn}")
         changed = after.join(names.withColumnRenamed("least", "was"), "key").where("least < was")
+        done = changed.isEmpty()
+        if turn:
+            scratch.drop(f"groups-{turn - 1}")
         names = after
-        if changed.isEmpty():
-            return names
+        if done:
+            break
+    return names
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """doc_id, row, class_id (least id of the connected group), n_links (documents with the similarity), n_shingles."""
+def joined(docs: DataFrame, threshold: float, shingle: int, recall: float, branch: float, small: int, block: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """A row per document (doc_id, at, key, n), and one per distinct set (key, copies, at, links, least)."""
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = runs_for(recall, threshold, branch, depth)
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    survey = materialize(keyed.mapInArrow(_survey(shingle, runs, branch), f"doc_id {kind}, doc long, row long, key binary, n long, paths array<long>"), "join-survey")
-    worded = survey.where("n > 0")
-    classes = materialize(worded.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "row")).alias("at"), F.min("paths").alias("paths")), "join-classes")
+    number = F.col("doc_id").cast("long")
+    at = F.struct(number.isNull().alias("nul"), F.coalesce(number, F.lit(0)).alias("doc"), F.xxhash64("text").alias("row"))
+    keyed = docs.select("doc_id", at.alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    place = "struct<nul:boolean,doc:bigint,row:bigint>"
+    survey = scratch.write(keyed.mapInArrow(_survey(shingle, runs, branch), f"doc_id {kind}, at {place}, key binary, n long, paths array<long>, sketch binary"), "survey")
+    # ids of null come last and are told apart by their set
+    named = F.struct(F.col("at.nul").alias("nul"), F.when(F.col("at.nul"), F.xxhash64("key")).otherwise(F.col("at.doc")).alias("id"))
+    classes = survey.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("at").alias("at"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"))
+    classes = scratch.write(classes.withColumn("first", named), "classes")
     first = classes.select(F.explode("paths").alias("path"), "key")
-    first = materialize(first.join(_buckets(first).where("members > 1"), "path"), "join-first")
-    wanted = first.select("key").distinct().join(classes, "key").select("key", "copies", "at.doc", "at.row")
-    sets = keyed.select("doc", "row", "text").join(wanted, ["doc", "row"]).select("key", "copies", F.col("doc").alias("least"), "text").dropDuplicates(["key"])
-    sets = materialize(sets.mapInArrow(_sets(shingle), "key binary, copies long, least long, tokens array<long>"), "join-sets")
-    leaf = leaves(sets, first, branch, small, depth)
-    same = leaf.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).groupBy("size", "sum").agg(F.min("path").alias("path"))
-    leaf = materialize(leaf.join(same.select("path"), "path"), "join-leaves")
-    own = leaf.groupBy("key").agg(F.collect_list("path").alias("leaves"))  # a bounded number for each set
-    parts = f"CAST(ceil(members / {block}) AS INT)"
-    rows = leaf.select("path", "key", F.expr(f"CAST(pmod(xxhash64(key), {parts}) AS INT)").alias("block"), F.expr(parts).alias("blocks"))
-    rows = rows.join(sets.select("key", "copies", F.col("least").alias("first"), "tokens"), "key").join(own, "key")
-    rows = rows.select("path", "key", "block", "copies", "first", "tokens", "leaves", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold), "key binary, links long, least long")
-    found = materialize(found, "join-found")
-    links = found.groupBy("key").agg(F.sum("links").alias("links")).join(components(found.select("key", "least").distinct()), "key")
-    per = classes.select("key", "copies", F.col("at.doc").alias("own")).join(links, "key", "left")
-    out = survey.drop("paths", "doc").join(per, "key", "left")
-    number = F.coalesce("least", "own")
-    class_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(number == LAST, F.lit(None)).otherwise(number)).cast("long")
+    first = scratch.write(first.join(_buckets(first).where("members > 1"), "path"), "first")
+    tight = scratch.write(screened(first.where(F.col("members") <= small), classes, threshold, block), "tight")
+    large = first.where(F.col("members") > small)
+    wanted = tight.select("key").unionByName(large.select("key")).distinct().join(classes, "key").select("key", "copies", "first", "at")
+    # rows repeated whole are one text; the join has them side by side already
+    texts = keyed.select("at.*", "text").join(wanted.select("key", "copies", "first", "at.*"), ["nul", "doc", "row"]).dropDuplicates(["nul", "doc", "row"])
+    sets = scratch.write(texts.select("key", "copies", "first", "text").mapInArrow(_sets(shingle), "key binary, copies long, first struct<nul:boolean,id:bigint>, tokens array<long>"), "sets")
+    rows = tight
+    if not large.isEmpty():
+        some = scratch.write(sets.join(large.select("key").distinct(), "key", "left_semi"), "large")
+        rows = scratch.write(tight.unionByName(screened(leaves(scratch, some, large, branch, small, depth), classes, threshold, block)), "screened")
+        scratch.drop("tight", "large", *(f"split-{level}" for level in range(2, depth + 1)))
+    scratch.drop("first")
+    held = rows.select("path", "key").distinct()
+    same = held.groupBy("path").agg(F.count("*").alias("size"), *(F.sum(F.xxhash64("key", F.lit(x)).cast("decimal(38,0)")).alias(f"sum{x}") for x in (0, 1))).groupBy("size", "sum0", "sum1").agg(F.min("path").alias("path"))
+    rows = scratch.write(rows.join(same.select("path"), "path"), "compared")
+    own = rows.select("key", "path").groupBy("key").agg(F.collect_set("path").alias("leaves"))  # a bounded number for each set
+    rows = rows.join(own, "key").join(sets.select("key", "copies", "first.*", "tokens"), "key")
+    found = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold), "key binary, links long, least struct<nul:boolean,id:bigint>")
+    found = scratch.write(found, "found")
+    scratch.drop("sets", "compared", "tight", "screened")
+    links = found.groupBy("key").agg(F.sum("links").alias("links")).join(components(scratch, found.select("key", "least").distinct()), "key")
+    return survey, classes.select("key", "copies", "at", "first").join(links, "key", "left").select("key", "copies", "at", "links", F.coalesce("least", "first").alias("least"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """doc_id, row, class_id (least id of the connected group), n_links (documents with the similarity), n_shingles."""
+    survey, sets = joined(docs, threshold, shingle, recall, branch, small, block, depth)
+    out = survey.select("doc_id", "at.row", "key", "n").join(sets.select("key", "copies", "links", "least"), "key", "left")
+    class_id = F.when(F.col("n") == 0, F.col("doc_id")).when(~F.col("least.nul"), F.col("least.id")).cast("long")
     n_links = F.when(F.col("n") == 0, 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long")
     return out.select("doc_id", "row", class_id.alias("class_id"), n_links.alias("n_links"), F.col("n").alias("n_shingles"))
 
 
-def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` that lead their group, or have none; copies under one id all stay only if they lead."""
-    lead = jaccard_join(docs, **options).where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    return docs.join(lead, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__row")), "left_semi")
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """One row of ``docs`` for each group, the least by id and text hash, and all rows without words."""
+    survey, sets = joined(docs, threshold, shingle, recall, branch, small, block, depth)
+    lead = sets.groupBy("least").agg(F.min("at").alias("at")).select("at")
+    times = survey.groupBy("at").agg(F.count("*").alias("times"), F.max("n").alias("words"))
+    a, b, c, d = fresh(docs, "nul", "doc", "row", "times")
+    kept = times.join(lead, "at", "left_semi").unionByName(times.where("words = 0").withColumn("times", F.lit(1).cast("long")))
+    kept = kept.select(F.col("at.nul").alias(a), F.col("at.doc").alias(b), F.col("at.row").alias(c), F.col("times").alias(d))
+    number = F.col("doc_id").cast("long")
+    names = [F.col(f"`{x}`") for x in docs.columns]
+    rows = docs.select(*names, number.isNull().alias(a), F.coalesce(number, F.lit(0).cast("long")).alias(b), F.xxhash64("text").alias(c)).join(kept, [a, b, c])
+    # rows that agree in id and text are one document: the first of them stays
+    return rows.where(F.col(d) == 1).unionByName(rows.where(F.col(d) > 1).dropDuplicates([a, b, c])).select(*names)
