@@ -14,6 +14,7 @@ import pyarrow as pa
 U = np.uint64
 SEGMENT, PIECE = 4 << 20, 1 << 19
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+TWIN = (0xF1357AEA2E62A9C5, 0xBB67AE8584CAA73B)  # bases of a second, independent hash
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -64,25 +65,25 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, bounds)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BYTE) -> np.ndarray:
     """One hash per word, in pieces of whole words so that memory follows the piece."""
     out = np.empty(len(start), U)
     lo = 0
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(end, start[lo] + PIECE, side="right")))
-        base = start[lo]
-        out[lo:hi] = _hash_runs(data[base : end[hi - 1]].astype(U), _BYTE, start[lo:hi] - base, end[lo:hi] - base)
+        at = start[lo]
+        out[lo:hi] = _hash_runs(data[at : end[hi - 1]].astype(U), base, start[lo:hi] - at, end[lo:hi] - at)
         lo = hi
     return out
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, base: int = _WORD) -> np.ndarray:
     """The hash of each run of k words; empty if there are fewer."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, U)
     at = np.arange(n)
-    return _hash_runs(words, _WORD, at, at + k)
+    return _hash_runs(words, base, at, at + k)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

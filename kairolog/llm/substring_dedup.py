@@ -3,15 +3,18 @@
 A word goes if it lies in a window of 50 consecutive words whose sequence also starts in a document with a smaller id.
 
 1. Each window is represented by one of its 12-word phrases, the one with the least hash; equal windows choose equal
-   phrases. Phrases that two documents chose are the candidates, about one for twenty words of repeated text.
+   phrases at equal places. Phrases that two documents chose are the candidates, about one for twenty words of repeated
+   text.
 2. The candidates' texts are fetched from the first documents that hold them and dealt into shards of bounded size.
-   Each shard is compiled into an Aho-Corasick automaton, which streams every document that chose one of its
-   phrases; no other document can hold a repeated window. A shard with many documents is compiled several times, for
-   parts of them, so a phrase in a third of all documents delays no task.
-3. At the occurrences found, windows are confirmed by their own hash: the least document of each is kept, later ones
-   lose the words. This grouping combines before it shuffles, and the join back splits skewed keys.
+   Each shard is compiled into an Aho-Corasick automaton, which locates every occurrence in the documents streamed
+   through it. All documents are surveyed; those that chose none of the shard's phrases hold no window that could be
+   repeated by one of them, so they need not stream through that shard. A shard with many documents is compiled
+   several times, for parts of them, so a phrase in a third of all documents delays no task.
+3. The places that the automaton found are extended to the windows around them that they represent, and these are
+   confirmed by 128-bit hashes of their words: the least document of each is kept, later ones lose the words. The
+   grouping combines before it shuffles; its result is written, so that the join back can split a hot window's rows.
 
-Step 3 compares 64-bit hashes of windows that share a phrase byte for byte.
+Two windows count as equal if they share a phrase, byte for byte, and two independent 64-bit hashes of all their words.
 
 Cases: a null, empty or short text has no windows and loses nothing; rows of one id are one document, each keeping its
 own words; null ids come after all others and do not repeat one another; extra columns are ignored; an empty table
@@ -29,28 +32,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairolog.llm._tables import materialize, ship
-from kairolog.llm._words import gram_hashes, sized, sliding_min, split_words, utf8, word_hashes
+from kairolog.llm._tables import Scratch, ship
+from kairolog.llm._words import TWIN, U, gram_hashes, sized, sliding_min, split_words, utf8, word_hashes
 
 WINDOW, PHRASE = 50, 12
-SHARD_CHARS, PART_BYTES = 3_000_000, 48 << 20
+SHARD_CHARS, PART_BYTES = 2_000_000, 16 << 20
 LAST = (1 << 63) - 1  # where null ids stand
+NONE = U((1 << 64) - 1)
 
 
 class Windows:
     """The words of some documents, their windows, and the phrase that each window chose."""
 
-    def __init__(self, column: pa.Array, window: int, phrase: int) -> None:
+    def __init__(self, column: pa.Array, window: int, phrase: int, twin: bool = False) -> None:
         self.data, bounds = utf8(column)
         self.start, self.end, self.first = split_words(self.data, bounds)
         words = word_hashes(self.data, self.start, self.end)
         self.grams = gram_hashes(words, phrase)
         self.hashes = gram_hashes(words, window)
+        self.twins = gram_hashes(word_hashes(self.data, self.start, self.end, TWIN[0]), window, TWIN[1]) if twin else None
         chosen = sliding_min(self.grams, window - phrase + 1) if len(self.hashes) else self.hashes
         doc = np.repeat(np.arange(len(column)), np.diff(self.first))
         self.at = np.flatnonzero(np.arange(len(self.hashes)) + window <= self.first[1:][doc[: len(self.hashes)]])
         self.doc, self.chosen = doc[self.at], chosen[self.at]
 
+    def around(self, places: np.ndarray, reach: int) -> np.ndarray:
+        """The windows that a phrase at one of the places represents, as indices into ``at``."""
+        held = np.full(len(self.grams), NONE)
+        held[places] = self.grams[places]
+        return np.flatnonzero(sliding_min(held, reach)[self.at] == self.chosen) if len(self.at) else self.at
+
     def words(self, a: int, b: int) -> list[bytes]:
         body = memoryview(self.data)
         return [bytes(body[x:y]) for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
@@ -97,6 +108,14 @@ def _fetch(window: int, phrase: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def located(automaton: object, words: list[bytes]) -> np.ndarray:
+    """The words, by number, at which the automaton's phrases occur in the text. Patterns are its words between single spaces."""
+    text = b" ".join([b"", *words, b""])
+    ends = np.fromiter((end - length + 1 for end, length in automaton.iter(text.decode("latin-1"))), np.int64)
+    spaces = np.cumsum([0, *(len(w) + 1 for w in words)])
+    return np.searchsorted(spaces, ends)
+
+
 def _stream(window: int, phrase: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come by part, phrases before documents: compile, then locate."""
 
@@ -110,29 +129,23 @@ def _stream(window: int, phrase: int) -> Callable[[Iterator[pa.RecordBatch]], It
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 some = batch.slice(lo, hi - lo)
                 if keys[lo] != part:
-                    part, automaton, ready = keys[lo], ahocorasick.Automaton(ahocorasick.STORE_ANY), False
+                    part, automaton, ready = keys[lo], ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
                 if kinds[lo] == 0:
-                    for body, value in zip(some.column("body").to_pylist(), some.column("doc").to_pylist(), strict=True):
-                        automaton.add_word(f" {body.decode('latin-1')} ", value)
+                    for body in some.column("body").to_pylist():
+                        automaton.add_word(f" {body.decode('latin-1')} ")
                     continue
                 if not ready:
                     automaton.make_automaton()
                     ready = True
                 if not len(automaton):
                     continue
-                w = Windows(some.column("body"), window, phrase)
-                keep = []
-                for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-                    text = b" ".join([b"", *w.words(a, b), b""]).decode("latin-1")
-                    found = {value for _, value in automaton.iter(text)}
-                    if found:
-                        x, y = np.searchsorted(w.doc, [i, i + 1])
-                        keep.append(x + np.flatnonzero(np.isin(w.chosen[x:y].view(np.int64), np.fromiter(found, np.int64, len(found)))))
-                if keep:
-                    at = np.concatenate(keep)
-                    doc = pa.array(w.doc[at])
-                    place = (w.at[at] - w.first[w.doc[at]]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.hashes[w.at[at]].view(np.int64)), some.column("doc").take(doc), some.column("row").take(doc), pa.array(place)], ["window", "doc", "row", "place"])
+                w = Windows(some.column("body"), window, phrase, twin=True)
+                places = [a + located(automaton, w.words(a, b)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                at = w.around(np.concatenate(places).astype(np.int64), window - phrase + 1)
+                if len(at):
+                    doc, begin = pa.array(w.doc[at]), w.at[at]
+                    place = (begin - w.first[w.doc[at]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.hashes[begin].view(np.int64)), pa.array(w.twins[begin].view(np.int64)), some.column("doc").take(doc), some.column("row").take(doc), pa.array(place)], ["window", "twin", "doc", "row", "place"])
 
     return run
 
@@ -159,31 +172,35 @@ def _remove(window: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, part_bytes: int = PART_BYTES, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per document; with ``texts``, kept_text where words were removed."""
-    ship(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring-dedup")
+    ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    survey = materialize(keyed.mapInArrow(_survey(window, phrase), f"doc_id {kind}, doc long, row long, n_words long, sha256 string, phrases array<long>"), "substring-survey")
+    survey = scratch.write(keyed.mapInArrow(_survey(window, phrase), f"doc_id {kind}, doc long, row long, n_words long, sha256 string, phrases array<long>"), "survey")
     chosen = survey.select("doc", "row", F.explode("phrases").alias("phrase"))
     repeated = chosen.groupBy("phrase").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("phrase", "first")
+    repeated = scratch.write(repeated, "repeated")
     held = chosen.join(repeated, "phrase").groupBy("doc", "row").agg(F.collect_set(F.struct("phrase", "first")).alias("held"))  # no more than a document's words
-    suspects = materialize(keyed.drop("doc_id").join(held, ["doc", "row"]), "substring-suspects")
+    suspects = scratch.write(keyed.drop("doc_id").join(held, ["doc", "row"]), "suspects")
     own = suspects.select("text", F.expr("transform(filter(held, h -> h.first = doc), h -> h.phrase)").alias("own")).where("size(own) > 0")
     phrases = own.mapInArrow(_fetch(window, phrase), "phrase long, body binary").dropDuplicates(["phrase"]).join(repeated, "phrase")
-    phrases = materialize(phrases, "substring-phrases")
+    phrases = scratch.write(phrases, "phrases")
     chars = phrases.agg(F.sum(F.length("body") + 2)).first()[0] or 0
     shards = max(1, math.ceil(chars / shard_chars))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
     routed = suspects.select("doc", "row", "text", F.explode(F.expr(f"array_distinct(transform(held, h -> pmod(xxhash64(h.first), {shards})))")).alias("shard"))
     load = {r["shard"]: r["n"] for r in routed.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # a row per shard
-    parts = docs.sparkSession.createDataFrame(pa.table({"shard": pa.array(range(shards), pa.int64()), "parts": pa.array([max(1, math.ceil((load.get(s) or 0) / part_bytes)) for s in range(shards)], pa.int64())}))
-    width = 1 << 20
-    patterns = phrases.select(shard("first").alias("shard"), "phrase", "body").join(F.broadcast(parts), "shard").select(F.explode(F.expr(f"transform(sequence(0L, parts - 1), p -> shard * {width} + p)")).alias("part"), F.lit(0).alias("kind"), F.col("phrase").alias("doc"), F.lit(0).cast("long").alias("row"), "body")
-    bodies = routed.join(F.broadcast(parts), "shard").select((F.col("shard") * width + F.pmod(F.xxhash64("doc", "row"), F.col("parts"))).alias("part"), F.lit(1).alias("kind"), "doc", "row", F.col("text").cast("binary").alias("body"))
-    total = sum(max(1, math.ceil((load.get(s) or 0) / part_bytes)) for s in range(shards))
-    stream = patterns.union(bodies).repartition(max(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part", "kind")
-    found = materialize(stream.mapInArrow(_stream(window, phrase), "window long, doc long, row long, place long"), "substring-windows")
-    confirmed = found.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
-    gone = found.join(confirmed, "window").where("least < doc").groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
+    count = np.array([max(1, math.ceil((load.get(s) or 0) / part_bytes)) for s in range(shards)], np.int64)
+    parts = spark.createDataFrame(pa.table({"shard": pa.array(range(shards), pa.int64()), "parts": pa.array(count), "base": pa.array(np.cumsum(count) - count)}))
+    patterns = phrases.select(shard("first").alias("shard"), "phrase", "body").join(F.broadcast(parts), "shard")
+    patterns = patterns.select(F.explode(F.expr("transform(sequence(0L, parts - 1), p -> CAST(base + p AS INT))")).alias("part"), F.lit(0).alias("kind"), F.col("phrase").alias("doc"), F.lit(0).cast("long").alias("row"), "body")
+    bodies = routed.join(F.broadcast(parts), "shard").select((F.col("base") + F.pmod(F.xxhash64("doc", "row"), F.col("parts"))).cast("int").alias("part"), F.lit(1).alias("kind"), "doc", "row", F.col("text").cast("binary").alias("body"))
+    stream = patterns.union(bodies).repartitionById(int(count.sum()), F.col("part")).sortWithinPartitions("part", "kind")
+    found = scratch.write(stream.mapInArrow(_stream(window, phrase), "window long, twin long, doc long, row long, place int"), "windows")
+    scratch.drop("phrases", "repeated")
+    confirmed = scratch.write(found.groupBy("window", "twin").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "twin", "least"), "confirmed")
+    gone = scratch.write(found.join(confirmed, ["window", "twin"]).where("least < doc").groupBy("doc", "row").agg(F.collect_set("place").alias("places")), "gone")
+    scratch.drop("windows", "confirmed")
     removed = suspects.select("doc", "row", "text").dropDuplicates(["doc", "row"]).join(gone, ["doc", "row"]).mapInArrow(_remove(window, texts), "doc long, row long, gone long, digest string, kept string")
     out = survey.drop("phrases").join(removed, ["doc", "row"], "left")
     columns = ["doc_id", "n_words", F.coalesce("gone", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("digest", "sha256").alias("kept_sha256")]

@@ -81,6 +81,25 @@ def test_substring_phrase_over_an_edge():
     assert got.to_pylist() == [{"phrase": own[0], "body": b" ".join([b"same"] * 12)}]
 
 
+def test_substring_places_decide(rows):
+    """Windows follow from the places that the automaton finds: none without them, others with others."""
+    import ahocorasick
+    import numpy as np
+    import pyarrow as pa
+
+    text = [b"x", b"a", b"b", b"a", b"b", b"ab"]
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    automaton.add_word(" a b ")
+    automaton.make_automaton()
+    assert substring_dedup.located(automaton, text).tolist() == [1, 3]
+    w = substring_dedup.Windows(pa.array([rows[0][1]]), 50, 12)
+    every = w.around(np.arange(len(w.grams)), 39)
+    assert every.tolist() == list(range(len(w.at))) and len(w.around(np.empty(0, np.int64), 39)) == 0
+    for p in range(0, len(w.grams), 7):  # only windows that hold the phrase, and chose it
+        held = w.around(np.array([p]), 39)
+        assert held.tolist() == [s for s in range(len(w.at)) if s <= p <= s + 38 and w.grams[s : s + 39].min() == w.grams[p]]
+
+
 def test_line_dedup(docs, rows):
     def chunks(text):
         out, cur, h = [], [], [0, 0]
