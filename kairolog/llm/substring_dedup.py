@@ -11,8 +11,10 @@ A word goes if it lies in a window of 50 consecutive words whose sequence also s
    repeated by one of them, so they need not stream through that shard. A shard with many documents is compiled
    several times, for parts of them, so a phrase in a third of all documents delays no task.
 3. The places that the automaton found are extended to the windows around them that they represent, and these are
-   confirmed by 128-bit hashes of their words: the least document of each is kept, later ones lose the words. The
-   grouping combines before it shuffles; its result is written, so that the join back can split a hot window's rows.
+   confirmed by 128-bit hashes of their words: the least document of each is kept, later ones lose the words. All
+   windows that equal one another represent equal phrases, so a shard of one part confirms its own. Windows of shards in
+   several parts are grouped by a shuffle, which combines first; its result is written, so that the join back can split
+   a hot window's rows.
 
 Two windows count as equal if they share a phrase, byte for byte, and two independent 64-bit hashes of all their words.
 
@@ -36,9 +38,10 @@ from kairolog.llm._tables import Scratch, ship
 from kairolog.llm._words import TWIN, U, gram_hashes, sized, sliding_min, split_words, utf8, word_hashes
 
 WINDOW, PHRASE = 50, 12
-SHARD_CHARS, PART_BYTES = 2_000_000, 16 << 20
+SHARD_CHARS, PART_BYTES = 1_000_000, 24 << 20
 LAST = (1 << 63) - 1  # where null ids stand
 NONE = U((1 << 64) - 1)
+FOUND = ["window", "twin", "doc", "row", "place", "places"]
 
 
 class Windows:
@@ -116,36 +119,74 @@ def located(automaton: object, words: list[bytes]) -> np.ndarray:
     return np.searchsorted(spaces, ends)
 
 
+class Found:
+    """The windows located in one part's documents."""
+
+    def __init__(self) -> None:
+        self.docs: list[tuple[int, int]] = []
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, w: Windows, at: np.ndarray, docs: pa.Array, rows: pa.Array) -> None:
+        own = w.doc[at]
+        used, local = np.unique(own, return_inverse=True)
+        self.held.append((w.hashes[w.at[at]], w.twins[w.at[at]], (local + len(self.docs)).astype(np.int32), (w.at[at] - w.first[own]).astype(np.int32)))
+        self.docs += zip(docs.take(pa.array(used)).to_pylist(), rows.take(pa.array(used)).to_pylist(), strict=True)
+
+    def rows(self, whole: bool) -> Iterator[pa.RecordBatch]:
+        """Of a whole shard, the places to remove by document; else every window."""
+        if not self.held:
+            return
+        window, twin, own, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        doc, row = (np.array(x, np.int64) for x in zip(*self.docs, strict=True))
+        if whole:
+            order = np.lexsort((twin, window))
+            window, twin, own, place = window[order], twin[order], own[order], place[order]
+            new = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (twin[1:] != twin[:-1])]))
+            least = np.repeat(np.minimum.reduceat(doc[own], new), np.diff([*new, len(own)]))
+            gone = np.flatnonzero(doc[own] > least)
+            gone = gone[np.argsort(own[gone], kind="stable")]
+            used, first = np.unique(own[gone], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array([*first, len(gone)], pa.int32()), pa.array(place[gone]))
+            none = pa.nulls(len(used), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[used]), pa.array(row[used]), none.cast(pa.int32()), lists], FOUND)
+        else:
+            empty = pa.nulls(len(own), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(twin.view(np.int64)), pa.array(doc[own]), pa.array(row[own]), pa.array(place), empty], FOUND)
+
+
 def _stream(window: int, phrase: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come by part, phrases before documents: compile, then locate."""
+    """Rows come by part, phrases (kind 0) before documents (1, or 2 in a shard of this part alone): compile, locate, confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        part, automaton, ready = None, None, False
+        part, automaton, ready, whole, found = None, None, False, False, Found()
         for batch in sized(batches, "body"):
             keys, kinds = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 some = batch.slice(lo, hi - lo)
                 if keys[lo] != part:
-                    part, automaton, ready = keys[lo], ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
+                    yield from found.rows(whole)
+                    part, automaton, ready, found = keys[lo], ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False, Found()
                 if kinds[lo] == 0:
                     for body in some.column("body").to_pylist():
                         automaton.add_word(f" {body.decode('latin-1')} ")
                     continue
                 if not ready:
                     automaton.make_automaton()
-                    ready = True
+                    ready, whole = True, kinds[lo] == 2
                 if not len(automaton):
                     continue
                 w = Windows(some.column("body"), window, phrase, twin=True)
                 places = [a + located(automaton, w.words(a, b)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 at = w.around(np.concatenate(places).astype(np.int64), window - phrase + 1)
                 if len(at):
-                    doc, begin = pa.array(w.doc[at]), w.at[at]
-                    place = (begin - w.first[w.doc[at]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.hashes[begin].view(np.int64)), pa.array(w.twins[begin].view(np.int64)), some.column("doc").take(doc), some.column("row").take(doc), pa.array(place)], ["window", "twin", "doc", "row", "place"])
+                    found.add(w, at, some.column("doc"), some.column("row"))
+                if not whole:
+                    yield from found.rows(whole)
+                    found = Found()
+        yield from found.rows(whole)
 
     return run
 
@@ -159,7 +200,7 @@ def _remove(window: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             body = memoryview(data)
             for places, a, b in zip(batch.column("places"), first[:-1], first[1:], strict=True):
                 edge = np.zeros(b - a + 1, np.int64)
-                at = places.values.to_numpy()
+                at = places.values.to_numpy()  # rows repeated whole bring theirs more than once
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + window, -1)
                 stay = a + np.flatnonzero(np.cumsum(edge[:-1]) == 0)
@@ -194,12 +235,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     parts = spark.createDataFrame(pa.table({"shard": pa.array(range(shards), pa.int64()), "parts": pa.array(count), "base": pa.array(np.cumsum(count) - count)}))
     patterns = phrases.select(shard("first").alias("shard"), "phrase", "body").join(F.broadcast(parts), "shard")
     patterns = patterns.select(F.explode(F.expr("transform(sequence(0L, parts - 1), p -> CAST(base + p AS INT))")).alias("part"), F.lit(0).alias("kind"), F.col("phrase").alias("doc"), F.lit(0).cast("long").alias("row"), "body")
-    bodies = routed.join(F.broadcast(parts), "shard").select((F.col("base") + F.pmod(F.xxhash64("doc", "row"), F.col("parts"))).cast("int").alias("part"), F.lit(1).alias("kind"), "doc", "row", F.col("text").cast("binary").alias("body"))
+    bodies = routed.join(F.broadcast(parts), "shard").select((F.col("base") + F.pmod(F.xxhash64("doc", "row"), F.col("parts"))).cast("int").alias("part"), F.when(F.col("parts") == 1, 2).otherwise(1).alias("kind"), "doc", "row", F.col("text").cast("binary").alias("body"))
     stream = patterns.union(bodies).repartitionById(int(count.sum()), F.col("part")).sortWithinPartitions("part", "kind")
-    found = scratch.write(stream.mapInArrow(_stream(window, phrase), "window long, twin long, doc long, row long, place int"), "windows")
+    found = scratch.write(stream.mapInArrow(_stream(window, phrase), "window long, twin long, doc long, row long, place int, places array<int>"), "windows")
     scratch.drop("phrases", "repeated")
-    confirmed = scratch.write(found.groupBy("window", "twin").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "twin", "least"), "confirmed")
-    gone = scratch.write(found.join(confirmed, ["window", "twin"]).where("least < doc").groupBy("doc", "row").agg(F.collect_set("place").alias("places")), "gone")
+    shared = found.where("places IS NULL").select("window", "twin", "doc", "row", "place")
+    confirmed = scratch.write(shared.groupBy("window", "twin").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "twin", "least"), "confirmed")
+    gone = shared.join(confirmed, ["window", "twin"]).where("least < doc").groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
+    gone = gone.unionByName(found.where("places IS NOT NULL").select("doc", "row", "places")).groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    gone = scratch.write(gone, "gone")
     scratch.drop("windows", "confirmed")
     removed = suspects.select("doc", "row", "text").dropDuplicates(["doc", "row"]).join(gone, ["doc", "row"]).mapInArrow(_remove(window, texts), "doc long, row long, gone long, digest string, kept string")
     out = survey.drop("phrases").join(removed, ["doc", "row"], "left")
