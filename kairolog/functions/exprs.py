@@ -73,7 +73,7 @@ def compare(op: str, a: Val, b: Val) -> tuple[Val, Column]:
 
 def equal(a: Val, b: Val) -> Column:
     if a.kind != "any" and b.kind != "any":
-        if a.base != b.base:
+        if a.base != b.base or (a.table and b.table and a.table != b.table):
             return F.lit(False)
         return (a.col == b.col) & ~F.isnan(a.col) if a.base == "float" else a.col == b.col
     same = (a.part("s").eqNullSafe(b.part("s"))) & (a.part("i").eqNullSafe(b.part("i"))) & (a.part("b").eqNullSafe(b.part("b"))) & (a.part("f").eqNullSafe(b.part("f")))

@@ -62,9 +62,17 @@ class Val:
     def number(self) -> Column:
         return F.coalesce(self.part("f"), self.part("i").cast("double"))
 
+    @property
+    def table(self) -> str:
+        """Of the entities of a table, its name."""
+        return self.kind[4:] if self.kind.startswith("ent:") else ""
+
     def tagged(self) -> Val:
         if self.kind == "any":
             return self
+        if self.table:  # entities of two tables, and numbers, stay apart
+            name = F.concat(F.lit(self.table + "/"), self.col.cast("string"))
+            return Val("any", F.struct(F.lit(REF).cast("tinyint").alias("t"), name.alias("s"), *(F.lit(None).cast(TYPE[f]).alias(f) for f in "ifb")))
         return Val("any", F.struct(self.tag.cast("tinyint").alias("t"), *(self.part(f).alias(f) for f in "sifb")))
 
 
@@ -72,7 +80,7 @@ def key(v: Val) -> Column:
     """What joins compare: keywords count as the entities they name, other types never meet."""
     if v.kind != "any":
         text = keyword_id(v.col) if v.kind == "kw" else v.col.cast("string")
-        return F.concat(F.lit("R" if v.kind in ("ref", "kw") else "SIFB"[TAGS[v.base]]), text)
+        return F.concat(F.lit("R" if v.kind in ("ref", "kw") else f"R{v.table}/" if v.table else "SIFB"[TAGS[v.base]]), text)
     c = v.col
     return (
         F.when(c["t"] == KW, F.concat(F.lit("R"), keyword_id(c["s"]))).when(c["t"] == REF, F.concat(F.lit("R"), c["s"])).when(c["t"] == STR, F.concat(F.lit("S"), c["s"]))
@@ -81,10 +89,12 @@ def key(v: Val) -> Column:
 
 
 def same(a: Val, b: Val) -> Column:
-    """Whether two bound values of one variable agree."""
-    if a.base == b.base and a.kind != "any" and a.kind != "kw":
+    """Whether two bound values of one variable agree: entities only with those of their own table."""
+    if a.kind == b.kind and a.kind not in ("any", "kw"):
         return a.col == b.col
-    return key(a) == key(b)
+    if "any" in (a.kind, b.kind) or {a.kind, b.kind} <= {"kw", "ref"}:
+        return key(a) == key(b)
+    return F.lit(False)
 
 
 def literal(x: Any) -> Val:
@@ -121,11 +131,11 @@ def matches(v: Val, x: Any) -> Column:
 
 
 def plain(row_value: Any, kind: str) -> Any:
-    """A Python value of a collected one."""
+    """A Python value of a collected one; an entity of a table among values of several kinds is ``table/number``."""
     if row_value is None:
         return None
     if kind != "any":
         return Keyword(row_value) if kind == "kw" else uuid.UUID(row_value) if kind == "ref" else row_value
     t = row_value["t"]
     x = row_value["s" if t in (STR, REF, KW) else "i" if t == INT else "f" if t == FLT else "b"] if t != NULL else None
-    return Keyword(x) if t == KW else uuid.UUID(x) if t == REF else x
+    return Keyword(x) if t == KW else uuid.UUID(x) if t == REF and "/" not in x else x

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,20 +67,20 @@ def agree(a: Bindings, b: Bindings, names: list[str]) -> Column:
     return c
 
 
-def unioned(parts: list[Bindings], names: list[str]) -> Bindings:
-    """The union of the parts without repeats; kinds that differ become tagged values."""
+def unioned(parts: list[Bindings], names: list[str], distinct: bool = True) -> Bindings:
+    """The union of the parts, without repeats unless they count; kinds that differ become tagged values."""
     kinds = {n: {p.vars[n][1] for p in parts} for n in names}
     target = {n: (f"c{next(_fresh)}", k.pop() if len(k) == 1 else "any") for n, k in kinds.items()}
     df = parts[0].aligned(target).df
     for p in parts[1:]:
         df = df.unionByName(p.aligned(target).df)
-    return Bindings(df.distinct(), target)
+    return Bindings(df.distinct() if distinct else df, target)
 
 
 class Compiler:
-    """``facts``: the snapshot. ``derived``: of a rule name, its (columns' bindings) if it is one."""
+    """``facts``: the snapshot, dealt by entity if asked. ``derived``: of a rule name, its (columns' bindings) if it is one."""
 
-    def __init__(self, spark: SparkSession, relations: Mapping[str, Relation], facts: Callable[[], DataFrame], predicates: Mapping[str, Callable], valid_at: int | str, derived: Callable[[Invoke], Bindings | None] = lambda _: None) -> None:
+    def __init__(self, spark: SparkSession, relations: Mapping[str, Relation], facts: Callable[[bool], DataFrame], predicates: Mapping[str, Callable], valid_at: int | str, derived: Callable[[Invoke], Bindings | None] = lambda _: None) -> None:
         self.spark, self.relations, self.facts, self.predicates, self.valid_at, self.derived = spark, relations, facts, predicates, valid_at, derived
 
     # scans
@@ -92,8 +92,8 @@ class Compiler:
         found = self.relations.get(table)
         return (found, column) if found and found.attribute(column) else None
 
-    def star(self, patterns: list[Pattern]) -> Bindings:
-        """Patterns on one entity of one relation: a single scan of the columns they name."""
+    def star(self, patterns: list[Pattern], ors: tuple[Or, ...] = ()) -> Bindings:
+        """Patterns on one entity of one relation: a single scan of the columns they name. ``ors``: that ``filters`` found."""
         rel, _ = self.relation(patterns[0])
         df, cols, cond = rel.df, {}, F.lit(True)
         slots = [(patterns[0].e, rel.entity())] + [(p.v, rel.attribute(self.relation(p)[1])) for p in patterns]
@@ -102,30 +102,93 @@ class Compiler:
             if i or rel.key is not None:  # a null is no fact
                 cond = cond & v.col.isNotNull()
             if isinstance(t, Const):
-                cond = cond & ((v.col == t.value) if v.kind.startswith("ent:") and type(t.value) is int else matches(v, t.value))
+                cond = cond & self.is_const(v, t.value)
             elif isinstance(t, Var) and t.name in seen:
                 cond = cond & same(seen[t.name], v)
             elif isinstance(t, Var):
                 seen[t.name] = v
                 cols[t.name] = (f"c{next(_fresh)}", v.kind)
+        for o in ors:
+            any_branch = F.lit(False)
+            for branch in o.branches:
+                held = F.lit(True)
+                for c in branch:
+                    if isinstance(c, Expr):
+                        held = held & truthy(*compile_expr(c.call, seen, self.predicates))
+                        continue
+                    v = rel.attribute(self.relation(c)[1])
+                    held = held & v.col.isNotNull()
+                    if c.v is not None:
+                        held = held & (self.is_const(v, c.v.value) if isinstance(c.v, Const) else same(seen[c.v.name], v))
+                any_branch = any_branch | held
+            cond = cond & any_branch
         if not cols:
             cols, seen = {"": (f"c{next(_fresh)}", "bool")}, {"": Val("bool", F.lit(True))}
         df = df.where(cond).select(*(seen[n].col.alias(c) for n, (c, _) in cols.items()))
         return Bindings(df, {n: c for n, c in cols.items() if n})
 
-    def log_scan(self, p: Pattern, pseudo: list[Pattern]) -> Bindings:
-        df, seen, cond = self.facts(), {}, F.lit(True)
-        slots = [(p.e, Val("ref", F.col("e"))), (p.a, Val("kw", F.col("a"))), (p.v, Val("any", F.col("v")))]
-        slots += [(q.v, Val("int", F.col(HIDDEN[q.a.value.name]))) for q in pseudo]
+    def filters(self, clauses: tuple) -> list[Or]:
+        """Of a conjunction of patterns on one entity, by its key: the disjunctions that only ask more of the same row."""
+        patterns = [c for c in clauses if isinstance(c, Pattern)]
+        rels = [self.relation(p) for p in patterns]
+        if not patterns or None in rels or len({r.name for r, _ in rels}) > 1 or len({repr(p.e) for p in patterns}) > 1 or any(isinstance(c, Invoke) for c in clauses):
+            return []
+        rel, e = rels[0][0], patterns[0].e
+        if rel.key is None or not isinstance(e, Var):
+            return []
+        bound = binds(tuple(patterns))
+
+        def asks(c: object) -> bool:
+            if isinstance(c, Pattern):
+                found = self.relation(c)
+                return bool(found) and found[0] is rel and c.e == e and (not isinstance(c.v, Var) or c.v.name in bound)
+            return isinstance(c, Expr) and c.out is None and call_vars(c.call) <= bound
+
+        return [c for c in clauses if isinstance(c, Or) and c.join is None and all(asks(x) for b in c.branches for x in b)]
+
+    @staticmethod
+    def is_const(v: Val, x: object) -> Column:
+        return (v.col == x) if v.table and type(x) is int else matches(v, x)
+
+    @staticmethod
+    def bound(df: DataFrame, slots: list[tuple]) -> Bindings:
+        """The rows of facts that the terms allow, with a column for each variable."""
+        seen, cond = {}, F.lit(True)
         for i, (t, v) in enumerate(slots):
-            if isinstance(t, Const):
-                cond = cond & ((v.col == entity_id(t.value)) if i == 0 else (v.col == t.value.name) if i == 1 else matches(v, t.value))
+            if isinstance(t, Const) and i == 0:
+                number = type(t.value) is int  # names an entity of a table only
+                cond = cond & (F.lit(False) if number != bool(v.table) else v.col == (t.value if number else entity_id(t.value)))
+            elif isinstance(t, Const):
+                cond = cond & ((v.col == t.value.name) if i == 1 else matches(v, t.value))
             elif isinstance(t, Var) and t.name in seen:
-                cond = cond & (same(seen[t.name], v) if v.kind != "any" or seen[t.name].kind != "ref" else (v.tag == 4) & (v.part("s") == seen[t.name].col))
+                cond = cond & same(seen[t.name], v)
             elif isinstance(t, Var):
                 seen[t.name] = v
         names = {n: (f"c{next(_fresh)}", v.kind) for n, v in seen.items()}
-        return Bindings(df.where(cond).select(*(seen[n].col.alias(c) for n, (c, _) in names.items())), names)
+        return Bindings(df.where(cond).select(*(seen[n].col.alias(c) for n, (c, _) in names.items()), *([] if names else [F.lit(True).alias(f"c{next(_fresh)}")])), names)
+
+    def log_scan(self, p: Pattern, pseudo: list[Pattern], by_entity: bool = False) -> Bindings:
+        slots = [(p.e, Val("ref", F.col("e"))), (p.a, Val("kw", F.col("a"))), (p.v, Val("any", F.col("v")))]
+        slots += [(q.v, Val("int", F.col(HIDDEN[q.a.value.name]))) for q in pseudo]
+        return self.bound(self.facts(by_entity), slots)
+
+    def everywhere(self, p: Pattern, pseudo: list[Pattern], tables: set[str] | None) -> Bindings:
+        """A pattern whose attribute is open: over the log and all tables, or over those that the entity is known to be of."""
+        parts = [] if tables else [self.log_scan(p, pseudo)]
+        if not pseudo:
+            for rel in (r for n, r in self.relations.items() if not tables or n in tables):
+                facts = [F.struct(F.lit(f":{rel.name}/{c}").alias("a"), F.when(v.col.isNotNull(), v.tagged().col).alias("v")) for c in rel.df.columns if (v := rel.attribute(c)) is not None]
+                df = rel.df.select(rel.entity().col.alias("e"), F.explode(F.array(*facts)).alias("f")).where("e IS NOT NULL AND f.v IS NOT NULL")
+                parts.append(self.bound(df, [(p.e, Val(f"ent:{rel.name}", F.col("e"))), (p.a, Val("kw", F.col("f.a"))), (p.v, Val("any", F.col("f.v")))]))
+        return unioned(parts, list(parts[0].vars), distinct=False) if len(parts) > 1 and parts[0].vars else parts[0] if len(parts) == 1 else self.union_of_none(parts)
+
+    @staticmethod
+    def union_of_none(parts: list[Bindings]) -> Bindings:
+        """Without variables, only the number of rows counts."""
+        df = parts[0].df.select(F.lit(True).alias("c"))
+        for p in parts[1:]:
+            df = df.unionAll(p.df.select(F.lit(True).alias("c")))
+        return Bindings(df.select(F.col("c").alias(f"c{next(_fresh)}")), {})
 
     def invoked(self, x: Invoke) -> Bindings:
         found = self.derived(x)
@@ -135,7 +198,7 @@ class Compiler:
         for t, (n, _) in zip(x.args, found.vars.items(), strict=False):
             v = found.val(n)
             if isinstance(t, Const):
-                cond = cond & ((v.col == t.value) if v.kind.startswith("ent:") and type(t.value) is int else matches(v, t.value) if not isinstance(t.value, (Keyword,)) else key(v) == key(literal(t.value)))
+                cond = cond & (self.is_const(v, t.value) if not isinstance(t.value, Keyword) else key(v) == key(literal(t.value)))
             elif isinstance(t, Var) and t.name in seen:
                 cond = cond & same(seen[t.name], v)
             elif isinstance(t, Var):
@@ -145,7 +208,7 @@ class Compiler:
 
     # conjunctions
 
-    def scans(self, clauses: list) -> list[tuple[set[str], int, Callable[[], Bindings]]]:
+    def scans(self, clauses: list, ors: tuple[Or, ...] = ()) -> list[tuple[set[str], int, Callable[[], Bindings]]]:
         """(variables, constants, scan) of patterns and invocations; stars merged, pseudo-attributes with their pattern."""
         out, stars, owner = [], {}, {}
         groups: list[tuple[Pattern, list[Pattern]]] = []
@@ -168,9 +231,16 @@ class Compiler:
                 groups.append((c, []))
                 owner[c.e] = groups[-1][1]
         for ps in stars.values():
-            out.append((binds(tuple(ps)), sum(isinstance(t, Const) for p in ps for t in (p.e, p.v)), lambda ps=ps: self.star(ps)))
+            out.append((binds(tuple(ps)), sum(isinstance(t, Const) for p in ps for t in (p.e, p.v)), lambda ps=ps: self.star(ps, ors)))
+        # patterns on one entity: the log is dealt by entity before the snapshot, which the join then needn't do again
+        meets = Counter(p.e.name for p, _ in groups if isinstance(p.e, Var))
         for p, pseudo in groups:
-            out.append((binds((p, *pseudo)), 2 * isinstance(p.e, Const) + isinstance(p.v, Const), lambda p=p, q=pseudo: self.log_scan(p, q)))
+            known = {t for e, t in stars if e == p.e and isinstance(e, Var)}
+            if not isinstance(p.a, Const) and self.relations:
+                scan = lambda p=p, q=pseudo, known=known: self.everywhere(p, q, known or None)
+            else:
+                scan = lambda p=p, q=pseudo: self.log_scan(p, q, isinstance(p.e, Var) and meets[p.e.name] > 1)
+            out.append((binds((p, *pseudo)), 2 * isinstance(p.e, Const) + isinstance(p.v, Const), scan))
         return out
 
     def moment(self, p: Pattern) -> Bindings:
@@ -185,8 +255,9 @@ class Compiler:
     def conjunction(self, clauses: tuple, start: Bindings | None = None) -> Bindings:
         """Scans in an order that keeps them connected, expressions as soon as they can, then or, then not."""
         at = start
-        todo = self.scans([c for c in clauses if isinstance(c, (Pattern, Invoke))])
-        exprs, ors, nots = ([c for c in clauses if isinstance(c, k)] for k in (Expr, Or, Not))
+        asked = self.filters(clauses) if start is None else []
+        todo = self.scans([c for c in clauses if isinstance(c, (Pattern, Invoke))], tuple(asked))
+        exprs, ors, nots = ([c for c in clauses if isinstance(c, k) and c not in asked] for k in (Expr, Or, Not))
 
         def settle() -> None:
             nonlocal at

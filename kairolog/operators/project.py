@@ -1,16 +1,25 @@
-"""What :find asks for: projection, aggregates, cumulative windows."""
+"""What :find asks for: projection, aggregates, cumulative windows.
+
+A window without partitions doesn't pass through one task: rows are dealt by ranges of the order, each range runs its
+own window, and the totals of the ranges before it, a row per range, are added. A Python fold has no way to add totals,
+so it runs over the sorted rows of a partition with one running state.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kairolog.functions.values import FLT, INT, NULL, STR, Val
+from kairolog.functions.values import BOOL, FLT, INT, NULL, STR, TAGGED, Val
 from kairolog.operators.compile import Bindings
 from kairolog.plans.parse import Agg, Over, ParseError, Query, Var
+from kairolog.sources.shared import keep
 
 MOST, LEAST = (1 << 63) - 1, -(1 << 63)
 
@@ -70,18 +79,43 @@ def aggregate(fn: str, v: Val) -> tuple[Column, str]:
     raise ParseError(f"unknown aggregate {fn}")
 
 
-def over(f: Over, vals: Mapping[str, Val], functions: Mapping[str, Any]) -> tuple[Column, str]:
-    order = vals[f.order.name].col
-    spec = Window.partitionBy(*([vals[f.partition.name].col] if f.partition else [])).orderBy(order.desc_nulls_last() if f.desc else order.asc_nulls_last())
+@dataclass(frozen=True)
+class Fold:
+    """A user's aggregate: its steps, the kind of its result, and its grouped form as a column of a value."""
+
+    init: Callable[[], Any]
+    step: Callable[[Any, Any], Any]
+    finalise: Callable[[Any, int], Any]
+    kind: str
+    grouped: Callable[[Val], Column]
+
+
+def value(t: int | None, s: Any, i: Any, f: Any, b: Any) -> Any:
+    """The Python value of a tag and its payloads."""
+    return int(i) if t == INT else bool(b) if t == BOOL else f if t == FLT else None if t is None or t == NULL else s
+
+
+def order_keys(v: Val) -> list[Column]:
+    """Numbers compare as numbers, of whatever type; then strings; others are equal among themselves."""
+    if v.kind != "any":
+        return [v.col]
+    number = v.has(INT, FLT)
+    whole = F.coalesce(v.part("i"), F.when(F.abs(v.part("f")) < 9e18, v.part("f").cast("bigint")))
+    return [F.when(number, 0).when(v.has(STR), 1).otherwise(2), F.when(number, v.number), F.when(number, whole), F.when(v.has(STR), v.part("s"))]
+
+
+def directed(keys: list[Column], desc: bool) -> list[Column]:
+    return [k.desc_nulls_last() if desc else k.asc_nulls_last() for k in keys]
+
+
+def over(f: Over, vals: Mapping[str, Val], spec: Any) -> tuple[Column, str]:
+    """The window function over an ordered spec, and its kind."""
     rows = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if f.fn == "row-number":
         return F.row_number().over(spec).cast("bigint"), "int"
     if f.fn == "rank":
         return F.rank().over(spec).cast("bigint"), "int"
     v = vals[f.var.name]
-    if f.fn in functions:
-        fold, kind = functions[f.fn]
-        return fold(v).over(rows), kind
     if f.fn == "count":
         return F.count(_present(v)).over(rows), "int"
     if f.fn == "sum":
@@ -94,11 +128,88 @@ def over(f: Over, vals: Mapping[str, Val], functions: Mapping[str, Any]) -> tupl
     if f.fn == "avg":
         return F.avg(v.number).over(rows), "float"
     if f.fn in ("min", "max"):
-        x = _present(v)
-        return (F.min if f.fn == "min" else F.max)(x).over(rows), v.kind
+        pick, by = (F.min, F.min_by) if f.fn == "min" else (F.max, F.max_by)
+        if v.kind != "any":
+            return pick(v.col).over(rows), v.kind
+        number = F.when(v.has(INT, FLT), v.number)
+        return F.coalesce(by(F.when(number.isNotNull(), v.col), number).over(rows), pick(F.when(v.has(STR), v.col)).over(rows)), "any"
     raise ParseError(f"unknown window function {f.fn}")
 
 
+def addable(f: Over, vals: Mapping[str, Val]) -> bool:
+    """Whether the function's totals of two stretches can be put together."""
+    return f.fn in ("row-number", "rank", "count") or vals[f.var.name].kind != "any"
+
+
+def running(df: DataFrame, fs: dict[int, Over], vals: Mapping[str, Val]) -> tuple[DataFrame, dict[int, str]]:
+    """The rows with a column ``w<i>`` for each function, all over one order and no partitions."""
+    one = next(iter(fs.values()))
+    keys = order_keys(vals[one.order.name])
+    names = [f"__o{j}" for j in range(len(keys))]
+    raw = directed([F.col(n) for n in names], one.desc)
+    held = df.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    held = keep(held.repartitionByRange(*raw).withColumn("__part", F.spark_partition_id()))
+    totals, kinds = [F.count(F.lit(1)).alias("__ahead")], {}
+    for i, f in fs.items():
+        v = vals[f.var.name] if f.var is not None else None
+        if f.fn in ("count", "avg"):
+            totals.append(F.count(_present(v)).alias(f"__n{i}"))
+        if f.fn in ("sum", "avg"):
+            totals.append(F.sum(v.col if v.base == "int" and f.fn == "sum" else v.number).alias(f"__s{i}"))
+        if f.fn in ("min", "max"):
+            totals.append((F.min if f.fn == "min" else F.max)(v.col).alias(f"__m{i}"))
+    per = held.groupBy("__part").agg(*totals)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ahead = [F.col("__part").alias("__p")]
+    for c in per.columns[1:]:
+        add = F.sum if not c.startswith("__m") else F.min if fs[int(c[3:])].fn == "min" else F.max
+        ahead.append(add(c).over(before).alias(c))
+    out = held.join(F.broadcast(per.select(*ahead)), F.col("__part") == F.col("__p"))
+    spec = Window.partitionBy("__part").orderBy(*raw)
+    rows = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {}
+    for i, f in fs.items():
+        col, kinds[i] = over(f, vals, spec)
+        if f.fn in ("row-number", "rank"):
+            col = col + F.coalesce("__ahead", F.lit(0))
+        elif f.fn == "count":
+            col = col + F.coalesce(f"__n{i}", F.lit(0))
+        elif f.fn == "sum":
+            col = col + F.coalesce(f"__s{i}", F.lit(0))
+        elif f.fn == "avg":
+            v = vals[f.var.name]
+            n = F.coalesce(f"__n{i}", F.lit(0)) + F.count(_present(v)).over(rows)
+            col = F.when(n > 0, (F.coalesce(f"__s{i}", F.lit(0.0)) + F.coalesce(F.sum(v.number).over(rows), F.lit(0.0))) / n)
+        else:
+            col = (F.least if f.fn == "min" else F.greatest)(col, f"__m{i}")
+        cols[f"w{i}"] = col
+    return out.select(*df.columns, *(c.alias(n) for n, c in cols.items())), kinds
+
+
+def folded(df: DataFrame, i: int, f: Over, fold: Fold, vals: Mapping[str, Val]) -> DataFrame:
+    """The rows with ``w<i>``: one state runs over the sorted rows of each partition. All of one partition pass through a task, in batches."""
+    column, kinds = f"w{i}", {"float": T.DoubleType(), "int": T.LongType(), "str": T.StringType(), "bool": T.BooleanType()}
+    v, part = vals[f.var.name], [vals[f.partition.name].col] if f.partition else []
+    keys = order_keys(vals[f.order.name])
+    held = df.select("*", v.tagged().col.cast(TAGGED).alias("__v"), (F.struct(*part) if part else F.lit(0)).alias("__p"), *(k.alias(f"__o{j}") for j, k in enumerate(keys)))
+    held = (held.repartition("__p") if part else held.repartition(1)).sortWithinPartitions("__p", *directed([F.col(f"__o{j}") for j in range(len(keys))], f.desc))
+    names, target = df.columns, {"float": pa.float64(), "int": pa.int64(), "str": pa.string(), "bool": pa.bool_()}[fold.kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, n, done = None, None, 0, False
+        for batch in batches:
+            out = []
+            for p, x in zip(batch.column("__p").to_pylist(), batch.column("__v").to_pylist(), strict=True):
+                if not done or p != at:
+                    at, state, n, done = p, fold.init(), 0, True
+                if x is not None and x["t"] != NULL and (got := value(*(x[k] for k in "tsifb"))) is not None:
+                    state, n = fold.step(state, got), n + 1
+                out.append(fold.finalise(state, n) if n else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, target)], [*names, column])
+
+    return held.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kinds[fold.kind])]))
+
+
 def project(q: Query, b: Bindings, functions: Mapping[str, Any]) -> tuple[DataFrame, list[str]]:
     """The result and its columns' kinds."""
     aggs, overs = [f for f in q.find if isinstance(f, Agg)], [f for f in q.find if isinstance(f, Over)]
@@ -116,8 +227,8 @@ def project(q: Query, b: Bindings, functions: Mapping[str, Any]) -> tuple[DataFr
         keys = list(dict.fromkeys([f.name for f in q.find if isinstance(f, Var)] + ([v.name for v in q.with_] if not overs else [])))
         grouped = df.select(*(vals[k].col.alias(f"k{j}") for j, k in enumerate(keys)), *(c for c, _ in b.vars.values()))
         names = [f"k{j}" for j in range(len(keys))]
-        own = {i: functions[f.fn][0](vals[f.var.name]).alias(f"a{i}") for i, f in enumerate(q.find) if isinstance(f, Agg) and f.fn in functions}
-        cols = {i: (None, functions[f.fn][1]) if i in own else aggregate(f.fn, vals[f.var.name]) for i, f in enumerate(q.find) if isinstance(f, Agg)}
+        own = {i: functions[f.fn].grouped(vals[f.var.name]).alias(f"a{i}") for i, f in enumerate(q.find) if isinstance(f, Agg) and f.fn in functions}
+        cols = {i: (None, functions[f.fn].kind) if i in own else aggregate(f.fn, vals[f.var.name]) for i, f in enumerate(q.find) if isinstance(f, Agg)}
         df = grouped.groupBy(*names).agg(*(c.alias(f"a{i}") for i, (c, _) in cols.items() if i not in own), F.count(F.lit(1)).alias("__rows"))
         if own:  # Python aggregates run apart from the others
             more = grouped.groupBy(*names).agg(*own.values())
@@ -141,11 +252,21 @@ def project(q: Query, b: Bindings, functions: Mapping[str, Any]) -> tuple[DataFr
             for v in (f.var, f.partition, f.order):
                 if v is not None and v.name not in vals:
                     vals[v.name] = Val("int", F.lit(None).cast("bigint"))
+    whole: dict[tuple[str, bool], dict[int, Over]] = {}
     for i, f in enumerate(q.find):
-        if isinstance(f, Over):
-            out[i] = over(f, vals, functions)
-        elif isinstance(f, Var):
+        if isinstance(f, Var):
             out[i] = vals[f.name].col, vals[f.name].kind
+        elif isinstance(f, Over) and f.fn in functions:
+            df = folded(df, i, f, functions[f.fn], vals)
+            out[i] = F.col(f"w{i}"), functions[f.fn].kind
+        elif isinstance(f, Over) and (f.partition or not addable(f, vals)):
+            spec = Window.partitionBy(*([vals[f.partition.name].col] if f.partition else [])).orderBy(*directed(order_keys(vals[f.order.name]), f.desc))
+            out[i] = over(f, vals, spec)
+        elif isinstance(f, Over):
+            whole.setdefault((f.order.name, f.desc), {})[i] = f
+    for fs in whole.values():
+        df, kinds = running(df, fs, vals)
+        out |= {i: (F.col(f"w{i}"), kinds[i]) for i in fs}
     names = [name(f) for f in q.find]
     unique = [n if names.index(n) == i else f"{n}#{names[:i].count(n) + 1}" for i, n in enumerate(names)]
     return df.select(*(out[i][0].alias(n) for i, n in enumerate(unique))), [out[i][1] for i in range(len(names))]

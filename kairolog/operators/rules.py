@@ -1,26 +1,50 @@
 """Rules: stratification, and evaluation to a fixpoint, semi-naively, one strongly connected group after another.
 
-Each round joins only what the last one found. Two shapes skip rounds: a linear rule whose invocations all hold the
-same constant is evaluated from that constant only (the demand rewrite in its commonest case), and a linear closure
-over few edges, a checked number, is closed on the driver.
+Each round joins only what the last one found. Rules that a query asks with constants are rewritten first so that only
+what the query demands is derived (``demanded``). A linear closure of two arguments is walked along its edges; from a
+constant, only what that reaches is visited. Long walks change over to edges of two, four, eight ... steps, as long as
+those don't outgrow the edges by much, so a chain takes a logarithmic number of rounds.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import replace
 
-import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairolog.functions.values import KW, Val, entity_id, key, keyword_id, literal, same
 from kairolog.operators.compile import Bindings, Compiler, converted, unioned
-from kairolog.plans.parse import Const, Invoke, Not, Or, ParseError, Pattern, Rule, Var
+from kairolog.plans.edn import Keyword
+from kairolog.plans.parse import Const, Invoke, Not, Or, ParseError, Pattern, Rule, Var, mentions
 from kairolog.sources.shared import keep
 
-ROUNDS, SMALL_EDGES, SMALL_PAIRS = 1000, 200_000, 1_000_000
+ROUNDS = 1000
+STEPS, SINGLE, WIDER = 4, 3, 8  # steps in a round; rounds of single steps before longer ones; how many times the edges these may be
 DELTA = "\0"
 
 
+class Reach:
+    """The pairs that walks of at most so many steps join, twice as many after each ``lengthen``."""
+
+    def __init__(self, hop: DataFrame, ident: Callable[[Column], Column]) -> None:
+        self.pairs, self.exact, self.size, self.ident = hop, hop, hop.count(), ident
+
+    def lengthen(self) -> int:
+        """The number of new pairs. One job: walks of exactly so many steps, followed by as many (1) or fewer (0)."""
+        first = self.exact.select("s", self.ident(F.col("t")).alias("m"))
+        second = self.pairs.select(F.col("s").alias("m"), "t", F.lit(0).alias("k")).unionByName(self.exact.select(F.col("s").alias("m"), "t", F.lit(1).alias("k")))
+        found = first.join(second, "m").select("s", "t", "k").distinct()
+        found = keep(found.join(self.pairs.select("s", "t", F.lit(0).alias("k")), ["s", "t", "k"], "left_anti"))
+        new = found.where("k = 0").select("s", "t")
+        n = new.count()
+        self.pairs, self.exact, self.size = self.pairs.unionByName(new), found.where("k = 1").select("s", "t"), self.size + n
+        return n
+
+
 class LimitError(RuntimeError):
     pass
 
@@ -103,9 +127,13 @@ class Evaluator:
         for group in groups(self.rules):
             name = min(group)
             recursive = len(group) > 1 or any(x.name == name for r in self.rules[name] for x, _ in invocations(r.body))
+            calls = {p: asked[p] for p in group if p in asked}
             if not recursive:
                 self.found[name, len(self.rules[name][0].args)] = self.union([self.head(r) for r in self.rules[name]] + self.base(name))
             elif len(group) > 1 or not self.linear(name, None if name in inner else self.seed(asked[name])):
+                outside = {x.name for p, rs in self.rules.items() if p not in group for r in rs for x, _ in invocations(r.body)}
+                if not (group & outside) and self.demanded(group, calls):
+                    continue
                 self.fixpoint(group)
         for name, calls in asked.items():
             for x in calls:
@@ -126,10 +154,8 @@ class Evaluator:
 
     def base(self, name: str, arity: int | None = None) -> list[Bindings]:
         """Facts under the attribute of the rule's name count as derived."""
-        if not self.base_facts:
+        if not self.base_facts or "\1" in name or "\2" in name:
             return []
-        from kairolog.plans.edn import Keyword
-
         arity = arity or len(self.rules[name][0].args)
         value = Var("1") if arity == 2 else Const(True)
         found = self.compiler.log_scan(Pattern(Var("0"), Const(Keyword(":" + name)), value), [])
@@ -147,13 +173,16 @@ class Evaluator:
 
     def linear(self, name: str, seed: tuple[int, object] | None) -> bool:
         """Whether it was evaluated here: base rules, and rules (p ?x ?y) that step from (p ?z ?y) or (p ?x ?z)."""
-        base, steps = [], []
+        base, steps, composed = [], [], False
         for r in self.rules[name]:
             own = [c for c in r.body if isinstance(c, Invoke) and c.name == name]
             if not any(x.name == name for x, _ in invocations(r.body)):
                 base.append(r)
                 continue
             rest = tuple(c for c in r.body if c not in own)
+            if self.composes(r, own, rest):
+                composed = True
+                continue
             if len(own) != 1 or len(r.args) != 2 or len({t.name for t in r.args}) != 2 or any(x.name == name for x, _ in invocations(rest)) or not all(isinstance(t, Var) for t in own[0].args):
                 return False
             x, y, (a, b) = r.args[0].name, r.args[1].name, (t.name for t in own[0].args)
@@ -164,88 +193,80 @@ class Evaluator:
                 steps.append((1, rest, (b, y)))
             else:
                 return False
-        if not base or len({s[0] for s in steps}) != 1:
+        if composed and not steps and base:  # the closure of the base rules
+            start = self.union([self.head(r) for r in base] + self.base(name))
+            return self.closed(name, start, start, 0 if seed is None else seed[0], seed)
+        if composed or not base or len({s[0] for s in steps}) != 1:
             return False
         side = steps[0][0]
         edges = [self.compiler.conjunction(rest) for _, rest, _ in steps]
         edges = self.union([Bindings(e.df.select(e.val(a).col.alias("h0"), e.val(b).col.alias("h1")), {"0": ("h0", e.vars[a][1]), "1": ("h1", e.vars[b][1])}) for e, (_, _, (a, b)) in zip(edges, steps, strict=True)])
         start = self.union([self.head(r) for r in base] + self.base(name))
-        kinds = {k for b in (edges, start) for _, k in b.vars.values()}
-        if len(kinds) > 1:  # entities and keywords, or numbers of two types: compared as tagged values they would not meet
-            return False
-        kind = kinds.pop()
-        if kind == "any" or kind == "kw":
+        return self.closed(name, start, edges, side, seed)
+
+    @staticmethod
+    def composes(r: Rule, own: list[Invoke], rest: tuple) -> bool:
+        """(p ?x ?y) from (p ?x ?z) and (p ?z ?y)."""
+        if rest or len(own) != 2 or len(r.args) != 2 or not all(isinstance(t, Var) for x in own for t in x.args):
             return False
-        got = self.closed_here(start, edges, side, seed) or self.stepped(start, edges, side, seed)
-        self.found[name, 2] = got
+        (x, y), ((a, b), (c, d)) = (t.name for t in r.args), ((t.name for t in z.args) for z in own)
+        return x != y and any(p == x and q == r_ and s_ == y and q not in (x, y) for p, q, r_, s_ in ((a, b, c, d), (c, d, a, b)))
+
+    def closed(self, name: str, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None) -> bool:
+        kinds = {k for b in (edges, start) for _, k in b.vars.values()}
+        if len(kinds) > 1 or kinds & {"any", "kw"}:  # a keyword and the entity it names meet: tagged values, joined by key
+            edges, start = (b.aligned({n: (c, "any") for n, (c, _) in b.vars.items()}) for b in (edges, start))
+        self.found[name, 2] = self.stepped(start, edges, side, seed)
         return True
 
-    def closed_here(self, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None) -> Bindings | None:
-        """On the driver, if edges, start and closure are few."""
-        found = []
-        for b in (edges, start):
-            rows = b.df.limit(SMALL_EDGES + 1).toArrow()
-            if rows.num_rows > SMALL_EDGES:
-                return None
-            found.append(list(zip(*(rows.column(i).to_pylist() for i in (0, 1)), strict=True)) if rows.num_rows else [])
-        step, begin = defaultdict(list), found[1]
-        for a, b in found[0]:
-            step[b if side == 0 else a].append(a if side == 0 else b)
-        if seed is not None and seed[0] != side:  # the bound end does not move
-            value = self.constant(seed[1], start.vars[str(seed[0])][1])
-            begin = [p for p in begin if p[seed[0]] == value]
-        seen, todo = set(begin), list(dict.fromkeys(begin))
-        while todo:
-            x, y = todo.pop()
-            for z in step[x if side == 0 else y]:
-                new = (z, y) if side == 0 else (x, z)
-                if new not in seen:
-                    seen.add(new)
-                    todo.append(new)
-            if len(seen) > min(SMALL_PAIRS, self.max_total):
-                if len(seen) > self.max_total:
-                    raise LimitError("the rule derives more facts than allowed")
-                return None
-        pairs = sorted(seen)
-        names = [c for c, _ in start.vars.values()]
-        if not pairs:
-            return Bindings(start.df.limit(0), start.vars)
-        made = self.compiler.spark.createDataFrame(pa.table({n: [p[i] for p in pairs] for i, n in enumerate(names)}))
-        return Bindings(made.select(*(F.col(n).cast(start.df.schema[n].dataType).alias(n) for n in names)), start.vars)
-
-    def constant(self, t: object, kind: str) -> object:
-        from kairolog.functions.values import entity_id
-        from kairolog.plans.edn import Keyword
-        import uuid
-
-        return entity_id(t.value) if isinstance(t.value, (Keyword, uuid.UUID)) and kind == "ref" else t.value
+    @staticmethod
+    def const(t: Const, kind: str) -> Val:
+        """A constant as a value that can meet those of the kind."""
+        if kind.startswith("ent:") and type(t.value) is int:
+            return Val(kind, F.lit(t.value).cast("bigint"))
+        v = literal(t.value)
+        return v.tagged() if kind == "any" else Val("ref", F.lit(entity_id(t.value))) if kind == "ref" and isinstance(t.value, (Keyword, uuid.UUID)) else v
 
     def stepped(self, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None) -> Bindings:
         """Rounds of joins. From a seed on the moving side, only what it reaches is visited, as single values."""
         (c0, kind), (c1, _) = start.vars["0"], start.vars["1"]
+        ident = (lambda c: key(Val("any", c))) if kind == "any" else lambda c: c
         e0, e1 = (c for c, _ in edges.vars.values())
         near, far = (e1, e0) if side == 0 else (e0, e1)
         if seed is not None and seed[0] == side:
-            value = self.constant(seed[1], kind)
-            hop = edges.df.select(F.col(far).alias("s"), F.col(near).alias("t"))
-            reached = self.rounds(self.compiler.spark.range(1).select(F.lit(value).cast(start.df.schema[c0].dataType).alias("x")), lambda d: d.join(hop, F.col("x") == F.col("s")).select(F.col("t").alias("x")))
+            value = self.const(seed[1], kind)
+            if value.kind != kind:
+                return start.where(F.lit(False))
+            hop = edges.df.select(ident(F.col(far)).alias("s"), F.col(near).alias("t"))
+            reached = self.walk(self.compiler.spark.range(1).select(value.col.alias("x")), "x", hop, ident)
             moving, fixed = (c0, c1) if side == 0 else (c1, c0)
-            df = start.df.join(reached, F.col("x") == F.col(moving), "left_semi").select(F.lit(value).cast(start.df.schema[moving].dataType).alias(moving), fixed).distinct().select(c0, c1)
+            df = start.df.join(reached, ident(F.col("x")) == ident(F.col(moving)), "left_semi").select(value.col.alias(moving), fixed).distinct().select(c0, c1)
             return Bindings(df, start.vars)
-        begin = start.df if seed is None else start.df.where(F.col(start.vars[str(seed[0])][0]) == self.constant(seed[1], kind))
-        hop = edges.df.select(F.col(near).alias("s"), F.col(far).alias("t"))
-        moving = c0 if side == 0 else c1
-        swap = lambda d: d.join(hop, F.col(moving) == F.col("s")).select(*(F.col("t").alias(c) if c == moving else F.col(c) for c in (c0, c1)))
-        return Bindings(self.rounds(begin, swap), start.vars)
-
-    def rounds(self, begin, step):
-        """All that ``step`` reaches from ``begin``, rows without nulls."""
+        begin = start if seed is None else start.where(same(start.val(str(seed[0])), self.const(seed[1], kind)))
+        hop = edges.df.select(ident(F.col(near)).alias("s"), F.col(far).alias("t"))
+        return Bindings(self.walk(begin.df, c0 if side == 0 else c1, hop, ident), start.vars)
+
+    def walk(self, begin: DataFrame, moving: str, hop: DataFrame, ident: Callable[[Column], Column]) -> DataFrame:
+        """All that ``begin`` reaches when its column ``moving`` goes along the edges (s, t), s being the ``ident`` of where they start; rows without nulls.
+
+        From few rows by steps from what was new last; from as many as there are edges along their closure."""
+        hop = keep(hop.distinct())
         new = keep(begin.distinct())
-        seen, parts = new, 1
-        for _ in range(ROUNDS):
-            found = step(new).distinct()
-            cond = [F.col(f"`{c}`") == F.col(f"`__{c}`") for c in found.columns]
-            new = keep(found.join(seen.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in seen.columns)), cond, "left_anti"))
+        reach, columns, seen, parts = Reach(hop, ident), new.columns, new, 1
+        edges = reach.size
+        go = lambda d, h: d.join(h, ident(F.col(moving)) == F.col("s")).select(*(F.col("t").alias(c) if c == moving else F.col(c) for c in columns)).distinct()
+        if new.count() * 2 >= edges:
+            while n := reach.lengthen():
+                self.count(n)
+            return new.unionByName(go(new, reach.pairs)).distinct()
+        wide = True
+        for turn in range(ROUNDS):
+            found, at = None, new
+            for _ in range(STEPS):  # the steps share their shuffles, so a round is one job
+                at = go(at, reach.pairs)
+                found = at if found is None else found.unionByName(at)
+            known = [F.col(f"`{c}`") == F.col(f"`__{c}`") for c in columns]
+            new = keep(found.distinct().join(seen.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in columns)), known, "left_anti"))
             n = new.count()
             if not n:
                 return seen
@@ -253,6 +274,9 @@ class Evaluator:
             seen, parts = seen.unionByName(new), parts + 1
             if parts % 8 == 0:
                 seen = keep(seen)
+            if wide and turn + 1 >= SINGLE:
+                reach.lengthen()
+                wide = reach.size <= WIDER * edges
         raise LimitError(f"no fixpoint in {ROUNDS} rounds")
 
     def count(self, n: int) -> None:
@@ -260,10 +284,114 @@ class Evaluator:
         if n > self.max_round or self.total > self.max_total:
             raise LimitError("the rules derive more facts than allowed")
 
+    # demand
+
+    def demanded(self, group: set[str], calls: dict[str, list[Invoke]]) -> bool:
+        """Evaluate the group for what the query asks, if every invocation of it holds a constant. Whether it was done.
+
+        Each predicate gets a copy for each pattern of known arguments in which it is invoked, guarded by a predicate of
+        demands: the constants of the query, and what the guarded rules bind before they invoke it."""
+        if any(n for rs in self.rules.values() for r in rs if r.name in group for x, n in invocations(r.body) if x.name in group) or not calls:
+            return False
+        if any(x.name in group for p in group for r in self.rules[p] for c in r.body if isinstance(c, (Or, Not)) for x, _ in invocations((c,))):
+            return False
+        known = lambda x, bound: "".join("b" if isinstance(t, Const) or isinstance(t, Var) and t.name in bound else "f" for t in x.args)
+        if any("b" not in known(x, ()) for xs in calls.values() for x in xs):
+            return False
+        copies: dict[tuple[str, str], list[Rule]] = {}
+        demand: dict[str, list[Rule]] = defaultdict(list)
+        seeds: dict[str, set[tuple]] = defaultdict(set)
+        todo = [(p, known(x, ())) for p, xs in calls.items() for x in xs]
+        for p, xs in calls.items():
+            for x in xs:
+                seeds[f"{p}\1{known(x, ())}"].add(tuple(t for t in x.args if isinstance(t, Const)))
+        while todo:
+            p, way = todo.pop()
+            if (p, way) in copies or "b" not in way:
+                if "b" not in way:
+                    return False  # something is asked for without a bound: all of it is demanded
+                continue
+            copies[p, way] = []
+            for r in self.rules[p]:
+                if any(not isinstance(t, Var) for t in r.args) or len({t.name for t in r.args}) < len(r.args):
+                    return False
+                guard = Invoke(f"{p}\1{way}", tuple(t for t, w in zip(r.args, way, strict=True) if w == "b"))
+                bound, body = {t.name for t in guard.args}, [guard]
+                # patterns that touch what is bound come first, so that invocations find their arguments
+                rest = list(r.body)
+                while rest:
+                    c = max(rest, key=lambda c: (not isinstance(c, Invoke) or c.name not in group, len(mentions((c,)) & bound)))
+                    inner = [x for x in rest if isinstance(x, Invoke) and x.name in group and mentions((x,)) & bound]
+                    if inner and not (mentions((c,)) & bound):
+                        c = inner[0]
+                    rest.remove(c)
+                    if isinstance(c, Invoke) and c.name in group:
+                        how = known(c, bound)
+                        asked = tuple(t for t, w in zip(c.args, how, strict=True) if w == "b")
+                        if not asked or any(isinstance(t, Const) for t in asked):
+                            return False
+                        demand[f"{c.name}\1{how}"].append(Rule(f"{c.name}\1{how}", asked, tuple(body)))
+                        todo.append((c.name, how))
+                        c = replace(c, name=f"{c.name}\2{how}")
+                    body.append(c)
+                    bound |= mentions((c,))
+                copies[p, way].append(Rule(f"{p}\2{way}", r.args, tuple(body)))
+            if self.base_facts:
+                args = tuple(Var(f"?{i}") for i in range(len(way)))
+                guard = Invoke(f"{p}\1{way}", tuple(t for t, w in zip(args, way, strict=True) if w == "b"))
+                copies[p, way].append(Rule(f"{p}\2{way}", args, (guard, Pattern(args[0], Const(Keyword(":" + p)), args[1] if len(args) == 2 else Const(True)))))
+        rules = {f"{p}\2{way}": rs for (p, way), rs in copies.items()} | {n: [r for r in rs if r.body != (Invoke(n, r.args),)] for n, rs in demand.items()}
+        for n in seeds:
+            rules.setdefault(n, [])
+        given = {n: self.seeded(values, [k for k, w in zip(self.argument_kinds(n.split("\1")[0], group), n.split("\1")[1], strict=True) if w == "b"]) for n, values in seeds.items()}
+        outer, self.rules = self.rules, {**self.rules, **rules}
+        try:
+            self.fixpoint(set(rules), given)
+        finally:
+            self.rules = outer
+        for p in calls:
+            parts = [self.named(self.found[f"{p}\2{way}", len(way)], way) for q, way in copies if q == p]
+            self.found[p, len(self.rules[p][0].args)] = self.union(parts)
+        return True
+
+    @staticmethod
+    def named(b: Bindings, way: str) -> Bindings:
+        """Known arguments as entities: a demand may name one by its keyword, or as what it names, and is the same demand."""
+        cols, kinds = [], {}
+        for (n, (c, k)), w in zip(b.vars.items(), way, strict=True):
+            v = F.col(c)
+            if w == "b" and k == "kw":
+                v, k = keyword_id(v), "ref"
+            elif w == "b" and k == "any":
+                v = F.when(v["t"] == KW, Val("ref", keyword_id(v["s"])).tagged().col).otherwise(v)
+            cols.append(v.alias(c))
+            kinds[n] = (c, k)
+        return Bindings(b.df.select(*cols), kinds)
+
+    def argument_kinds(self, p: str, group: set[str]) -> list[str]:
+        """The kind of each argument where the rules that don't recurse agree, else ``any``; without such rules, the group's if it has one only."""
+        found = {q: [[k for _, k in self.head(r).vars.values()] for r in self.rules[q] if not any(x.name in group for x, _ in invocations(r.body))] for q in group}
+        if found[p]:
+            return [ks[0] if len(set(ks)) == 1 else "any" for ks in zip(*found[p], strict=True)]
+        every = {k for rows in found.values() for ks in rows for k in ks}
+        return [min(every) if len(every) == 1 else "any"] * len(self.rules[p][0].args)
+
+    def seeded(self, values: set[tuple], kinds: list[str]) -> Bindings:
+        """The query's constants as the first demands."""
+        parts = []
+        for row in sorted(values, key=repr):
+            vals = [self.const(t, k) for t, k in zip(row, kinds, strict=True)]
+            parts.append(Bindings(self.compiler.spark.range(1).select(*(v.col.alias(f"h{i}") for i, v in enumerate(vals))), {str(i): (f"h{i}", v.kind) for i, v in enumerate(vals)}))
+        out = self.union(parts)
+        names = {n: (f"h{n}", k) for n, (_, k) in out.vars.items()}
+        return Bindings(out.df.select(*(F.col(c).alias(names[n][0]) for n, (c, _) in out.vars.items())), names)
+
     # any recursion
 
-    def fixpoint(self, group: set[str]) -> None:
-        arity = {p: len(self.rules[p][0].args) for p in group}
+    def fixpoint(self, group: set[str], given: dict[str, Bindings] | None = None) -> None:
+        """``given``: rows that predicates of the group start with."""
+        given = given or {}
+        arity = {p: len(given[p].vars) if p in given else len(self.rules[p][0].args) for p in group}
         first, later = defaultdict(list), []
         for p in group:
             for r in self.rules[p]:
@@ -273,7 +401,8 @@ class Evaluator:
                     later.append((p, r, None if nested else own))
                 else:
                     first[p].append(self.head(r))
-        seen: dict[str, Bindings] = {p: self.union(first[p] + self.base(p)) for p in group if first[p] or self.base_facts}
+        begin = {p: first[p] + ([given[p]] if p in given else self.base(p)) for p in group}
+        seen: dict[str, Bindings] = {p: self.union(parts) for p, parts in begin.items() if parts}
         if not seen:
             for p in group:
                 empty = self.compiler.spark.range(0).select(*(F.lit(None).cast("string").alias(f"h{i}") for i in range(arity[p])))
@@ -286,6 +415,7 @@ class Evaluator:
             seen[p] = Bindings(empty, {str(i): (f"h{i}", kind) for i in range(arity[p])})
         seen = {p: Bindings(keep(b.df), b.vars) for p, b in seen.items()}
         delta = dict(seen)
+        sizes = {p: 1 for p in begin if begin[p]}
         for turn in range(ROUNDS):
             for p in group:
                 self.found[p, arity[p]], self.found[DELTA + p, arity[p]] = seen[p], delta[p]
@@ -298,6 +428,8 @@ class Evaluator:
                     if own is None:
                         parts.append(self.head(r))
                     for i in own or ():
+                        if not sizes.get(r.body[i].name):  # nothing new there
+                            continue
                         parts.append(self.head(r, tuple(replace(c, name=DELTA + c.name) if j == i else c for j, c in enumerate(r.body))))
                 if not parts:
                     continue

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairolog.session import Database, TxCount
@@ -43,6 +43,37 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("user_id").cast("string").alias("e"), F.lit(":user/act").alias("a"), v.alias("v"), ms.alias("tx_id"), (F.col("event_id") + 1).alias("tx_count"), ms.alias("valid_from"), (ms + WEEK).alias("valid_to"), (F.col("event_id") % 3 != 0).alias("asserted"))
 
 
+FOREVER = (1 << 63) - 1
+RETRACTED = 1_000_000_000  # counters of the retractions begin here
+
+
+def fact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of several attributes and types: events (who, what, how much, flagged), and users in a tree.
+
+    Values are integers for even events and floats for odd ones; every second event's facts hold for a week only; the
+    type of every seventh event is retracted."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    none = {"s": "string", "i": "bigint", "f": "double", "b": "boolean"}
+
+    def v(tag: int, **given: str) -> Column:
+        return F.struct(F.lit(tag).cast("tinyint").alias("t"), *(F.expr(given.get(k, f"CAST(NULL AS {kind})")).alias(k) for k, kind in none.items()))
+
+    fact = lambda a, value, when=True: F.when(F.lit(when) if when is True else F.expr(when), F.struct(F.lit(a).alias("a"), value.alias("v"), F.lit(True).alias("asserted"), F.lit(0).cast("bigint").alias("later")))
+    gone = F.when(F.expr("event_id % 7 = 0"), F.struct(F.lit(":event/type").alias("a"), v(5, s="concat(':', event_type)").alias("v"), F.lit(False).alias("asserted"), F.lit(RETRACTED).cast("bigint").alias("later")))
+    facts = F.array(
+        fact(":event/by", v(4, s="concat('u', user_id)")), fact(":event/type", v(5, s="concat(':', event_type)")), fact(":event/value", v(1, i="CAST(value AS BIGINT)"), "event_id % 2 = 0"),
+        fact(":event/value", v(2, f="value"), "event_id % 2 = 1"), fact(":event/flag", v(3, b="event_id % 5 = 0")), gone,
+    )
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    out = ev.withColumn("ms", ms).select(F.expr("concat('x', event_id)").alias("e"), "ms", "event_id", F.explode(facts).alias("f")).where("f IS NOT NULL")
+    tx = F.col("event_id") + 1 + F.col("f.later")
+    out = out.select("e", "f.a", "f.v", F.col("ms").alias("tx_id"), tx.alias("tx_count"), F.col("ms").alias("valid_from"), F.expr(f"IF(event_id % 2 = 0, {FOREVER}, ms + {WEEK})").alias("valid_to"), "f.asserted")
+    tree = F.array(F.struct(F.lit(":user/name").alias("a"), v(0, s="concat('user ', user_id)").alias("v")), F.struct(F.lit(":user/up").alias("a"), v(4, s="concat('u', user_id div 2)").alias("v")))
+    users = ev.select("user_id").distinct().select(F.expr("concat('u', user_id)").alias("e"), F.explode(tree).alias("f"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return out.unionByName(users.select("e", "f.a", "f.v", zero.alias("tx_id"), one.alias("tx_count"), zero.alias("valid_from"), F.lit(FOREVER).cast("bigint").alias("valid_to"), F.lit(True).alias("asserted")))
+
+
 #: name: (query, result columns, SQL)
 PLAIN: dict[str, tuple[str, list[str], str]] = {
     "flagship_segments": (
@@ -99,6 +130,12 @@ PLAIN: dict[str, tuple[str, list[str], str]] = {
     "win_running_count": ("[:find ?e (count ?u :over (:partition-by ?u :order-by ?e)) :where [?e :events/user_id ?u]]", ["e", "n"], "SELECT event_id AS e, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events"),
     "win_running_min_max": ("[:find ?e (min ?v :over (:partition-by ?u :order-by ?e)) (max ?v :over (:partition-by ?u :order-by ?e)) :where [?e :events/user_id ?u] [?e :events/value ?v]]", ["e", "lo", "hi"], "SELECT event_id AS e, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"),
     "win_running_avg": ("[:find ?p (avg ?z :over (:partition-by ?b :order-by ?p)) :where [?p :part/p_brand ?b] [?p :part/p_size ?z]]", ["p", "m"], "SELECT p_partkey AS p, avg(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS m FROM part"),
+    "entity_kinds": ("[:find (count ?x) :where [?x :customer/c_name ?n] [?x :orders/o_totalprice ?t]]", ["n"], "SELECT 0::BIGINT AS n"),
+    "entity_kinds_number": ("[:find (count ?p) :where [?p :part/p_name ?n] [?s :part/p_size ?p]]", ["n"], "SELECT 0::BIGINT AS n"),
+    "attribute_var": ("[:find ?a (count ?v) :where [?n :nation/n_regionkey 1] [?n ?a ?v]]", ["a", "n"], "SELECT unnest([':nation/n_nationkey', ':nation/n_name', ':nation/n_regionkey']) AS a, count(*) AS n FROM nation WHERE n_regionkey = 1"),
+    "or_filter_expr": ("[:find ?p ?z :where [?p :part/p_size ?z] [?p :part/p_brand ?b] (or [?p :part/p_brand \"Brand#1\"] [(> ?z 45)] (and [?p :part/p_type _] [(< ?z 3)]))]", ["p", "z"], "SELECT p_partkey AS p, p_size::BIGINT AS z FROM part WHERE p_brand = 'Brand#1' OR p_size > 45 OR p_size < 3"),
+    "win_global": ("[:find ?p (row-number :over (:order-by ?p)) (sum ?z :over (:order-by ?p)) (avg ?z :over (:order-by ?p)) (max ?r :over (:order-by ?p :desc)) :where [?p :part/p_size ?z] [?p :part/p_retailprice ?r]]", ["p", "n", "s", "m", "hi"], "SELECT p_partkey AS p, row_number() OVER w AS n, sum(p_size) OVER w::BIGINT AS s, avg(p_size) OVER w AS m, max(p_retailprice) OVER (ORDER BY p_partkey DESC ROWS UNBOUNDED PRECEDING) AS hi FROM part WINDOW w AS (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)"),
+    "win_global_rank": ("[:find ?o (rank :over (:order-by ?d :desc)) :where [?o :orders/o_orderdate ?d]]", ["o", "r"], "SELECT o_orderkey AS o, rank() OVER (ORDER BY o_orderdate DESC) AS r FROM orders"),
     "mixed_agg_window": ("[:find ?s (count ?o) (row-number :over (:order-by ?s)) :where [?o :orders/o_orderstatus ?s]]", ["s", "n", "r"], "SELECT s, n, row_number() OVER (ORDER BY s) AS r FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)"),
 }
 _LOG = f"""WITH log AS (SELECT user_id::VARCHAR AS e, event_type AS v, epoch_us(ts) // 1000 AS tx_id, event_id + 1 AS tx_count, epoch_us(ts) // 1000 AS vf, epoch_us(ts) // 1000 + {WEEK} AS vt, event_id % 3 <> 0 AS asserted FROM events),
@@ -116,6 +153,31 @@ TEMPORAL: dict[str, tuple[str, list[str], str, str]] = {
     "prepared_asof": ("[:find ?e ?v :as-of $n :any-valid-time :where [?e :user/act ?v]]", ["e", "v"], "tx_count <= 700", "SELECT e, v FROM net"),
 }
 
+_FACTS = f"""WITH ev AS (SELECT 'x' || event_id AS x, 'u' || user_id AS u, ':' || event_type AS t, CASE WHEN event_id % 2 = 0 THEN trunc(value) ELSE value END AS v,
+event_id % 5 = 0 AS flag, event_id, event_id % 7 <> 0 AS typed, epoch_us(ts) // 1000 AS ms FROM events), now AS (SELECT * FROM ev WHERE event_id % 2 = 0 OR ms + {WEEK} > epoch_ms(current_timestamp::TIMESTAMP)),
+us AS (SELECT DISTINCT 'u' || user_id AS u, 'u' || user_id // 2 AS up, 'user ' || user_id AS name, user_id AS id FROM events) """
+#: name: (rules, query, result columns, SQL) over the fact log
+LOGGED: dict[str, tuple[str, str, list[str], str]] = {
+    "log_point_attribute": ("", "[:find ?x :where [?x :event/flag true]]", ["x"], "SELECT x FROM now WHERE flag"),
+    "log_join_two": ("", "[:find ?x ?u ?v :where [?x :event/by ?u] [?x :event/value ?v] [(> ?v 90)]]", ["x", "u", "v"], "SELECT x, u, v FROM now WHERE v > 90"),
+    "log_join_star": ("", "[:find ?n ?t (count ?x) :where [?x :event/by ?u] [?x :event/type ?t] [?x :event/flag true] [?u :user/name ?n]]", ["u", "t", "n"], "SELECT name AS u, t, count(*) AS n FROM now JOIN us USING (u) WHERE flag AND typed GROUP BY 1, 2"),
+    "log_join_refs": ("", "[:find ?a ?b :where [?u :user/name ?a] [?u :user/up ?w] [?w :user/up ?z] [?z :user/name ?b]]", ["a", "b"], "SELECT a.name AS a, c.name AS b FROM us a JOIN us b ON b.u = a.up JOIN us c ON c.u = b.up"),
+    "log_same_var": ("", "[:find ?u :where [?u :user/up ?u]]", ["u"], "SELECT u FROM us WHERE u = up"),
+    "log_not": ("", "[:find ?x ?u :where [?x :event/by ?u] (not [?x :event/type :click])]", ["x", "u"], "SELECT x, u FROM now WHERE NOT (t = ':click' AND typed)"),
+    "log_not_join": ("", "[:find ?u :where [?u :user/name _] (not-join [?u] [?x :event/by ?u] [?x :event/flag true])]", ["u"], "SELECT u FROM us WHERE u NOT IN (SELECT u FROM now WHERE flag)"),
+    "log_or": ("", "[:find ?x :where [?x :event/by ?u] (or [?x :event/flag true] [?x :event/type :purchase])]", ["x"], "SELECT x FROM now WHERE flag OR (t = ':purchase' AND typed)"),
+    "log_or_nested": ("", "[:find ?x :where [?x :event/value ?v] (or (and [?x :event/flag true] (or [?x :event/type :click] [?x :event/type :view])) [(> ?v 95)])]", ["x"], "SELECT x FROM now WHERE (flag AND typed AND t IN (':click', ':view')) OR v > 95"),
+    "log_or_join": ("", "[:find ?n :where [?u :user/name ?n] (or-join [?u] (and [?x :event/by ?u] [?x :event/value ?v] [(> ?v 99)]) [?u :user/up ?u])]", ["n"], "SELECT name AS n FROM us WHERE u = up OR u IN (SELECT u FROM now WHERE v > 99)"),
+    "log_aggregate": ("", "[:find ?t (count ?x) (sum ?v) (count-distinct ?u) :where [?x :event/type ?t] [?x :event/value ?v] [?x :event/by ?u]]", ["t", "n", "s", "u"], "SELECT t, count(*) AS n, sum(v) AS s, count(DISTINCT u) AS u FROM now WHERE typed GROUP BY 1"),
+    "log_type_preds": ("", "[:find (count ?x) :any-valid-time :where [?x :event/value ?v] [(integer? ?v)]]", ["n"], "SELECT count(*) AS n FROM ev WHERE event_id % 2 = 0"),
+    "log_attribute_var": ("", "[:find ?a (count ?v) :where [?x :event/flag true] [?x ?a ?v]]", ["a", "n"], "SELECT a, count(*) AS n FROM (SELECT unnest([':event/by', ':event/value', ':event/flag'] || CASE WHEN typed THEN [':event/type'] ELSE [] END) AS a FROM now WHERE flag) GROUP BY 1"),
+    "log_window_mixed": ("", "[:find ?x (rank :over (:partition-by ?u :order-by ?v)) :any-valid-time :where [?x :event/by ?u] [?x :event/value ?v] [(> ?v 20)]]", ["x", "n"], "SELECT x, rank() OVER (PARTITION BY u ORDER BY v) AS n FROM ev WHERE v > 20"),
+    "log_valid_at": ("", "[:find ?t (count ?x) :valid-at \"2024-01-15\" :where [?x :event/type ?t] [?x :db/valid-at ?m]]", ["t", "n"], f"SELECT t, count(*) AS n FROM ev WHERE typed AND ms <= epoch_ms(TIMESTAMP '2024-01-15') AND (event_id % 2 = 0 OR ms + {WEEK} > epoch_ms(TIMESTAMP '2024-01-15')) GROUP BY 1"),
+    "log_moment": ("", "[:find ?u ?m :valid-at \"2024-01-15\" :where [?u :user/up ?u] [?u :db/valid-at ?m]]", ["u", "m"], "SELECT u, epoch_ms(TIMESTAMP '2024-01-15')::DOUBLE AS m FROM us WHERE u = up"),
+    "log_as_of": ("", f"[:find ?t (count ?x) :as-of {RETRACTED} :any-valid-time :where [?x :event/type ?t] [?x :event/by ?u]]", ["t", "n"], "SELECT t, count(*) AS n FROM ev GROUP BY 1"),
+    "log_rule_reach": ("(rule [(above ?x ?y) [?x :user/up ?y]]) (rule [(above ?x ?y) [?x :user/up ?z] (above ?z ?y)])", "[:find ?x ?y :where (above ?x ?y)]", ["x", "y"], ", t(a, b) AS (SELECT u, up FROM us UNION SELECT t.a, us.up FROM t JOIN us ON t.b = us.u) SELECT a AS x, b AS y FROM t"),
+    "log_rule_not": ("(rule [(quiet ?u) [?u :user/name ?n] (not-join [?u] [?x :event/by ?u] [?x :event/type :purchase])])", "[:find ?n :where (quiet ?u) [?u :user/name ?n]]", ["n"], "SELECT name AS n FROM us WHERE u NOT IN (SELECT u FROM now WHERE typed AND t = ':purchase')"),
+}
 _TREE = "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey // 2 > 0), t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) "
 _UP = "(rule [(up ?x ?y) [?x :tree/parent ?y]]) (rule [(up ?x ?y) [?x :tree/parent ?z] (up ?z ?y)])"
 #: name: (rules, query, result columns, SQL)
@@ -126,6 +188,10 @@ RULES: dict[str, tuple[str, str, list[str], str]] = {
     "rule_magic_bound": (_UP, "[:find ?y :where (up 150 ?y)]", ["y"], _TREE + "SELECT b AS y FROM t WHERE a = 150"),
     "rule_bound_second": (_UP, "[:find ?x :where (up ?x 7)]", ["x"], _TREE + "SELECT a AS x FROM t WHERE b = 7"),
     "rule_mutual": ("(rule [(even ?x) [?x :tree/parent 1]]) (rule [(odd ?x) [?x :tree/parent ?y] (even ?y)]) (rule [(even ?x) [?x :tree/parent ?y] (odd ?y)])", "[:find ?x :where (odd ?x)]", ["x"], "WITH RECURSIVE d(x, n) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey // 2 = 1 UNION SELECT p_partkey, n + 1 FROM part JOIN d ON p_partkey // 2 = x) SELECT DISTINCT x FROM d WHERE n % 2 = 1"),
+    "rule_nonlinear": ("(rule [(to ?x ?y) [?x :tree/parent ?y]]) (rule [(to ?x ?y) (to ?x ?z) (to ?z ?y)])", "[:find ?x ?y :where (to ?x ?y)]", ["x", "y"], _TREE + "SELECT a AS x, b AS y FROM t"),
+    "rule_nonlinear_bound": ("(rule [(to ?x ?y) [?x :tree/parent ?y]]) (rule [(to ?x ?y) (to ?x ?z) (to ?z ?y)])", "[:find ?y :where (to 150 ?y)]", ["y"], _TREE + "SELECT b AS y FROM t WHERE a = 150"),
+    "rule_mutual_bound": ("(rule [(once ?x ?y) [?x :tree/parent ?y]]) (rule [(twice ?x ?y) [?x :tree/parent ?z] (once ?z ?y)]) (rule [(once ?x ?y) [?x :tree/parent ?z] (twice ?z ?y)])", "[:find ?y :where (twice 150 ?y)]", ["y"], "SELECT unnest([37, 9, 2])::BIGINT AS y"),
+    "rule_two_constants": (_UP, "[:find ?y ?z :where (up 150 ?y) (up 99 ?z)]", ["y", "z"], _TREE + "SELECT p.b AS y, q.b AS z FROM t p, t q WHERE p.a = 150 AND q.a = 99"),
     "rule_stratified_not": (_UP + "(rule [(apart ?x) [?x :tree/parent ?y] (not (up ?x 3))])", "[:find ?x :where (apart ?x)]", ["x"], _TREE + "SELECT DISTINCT a AS x FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.a = e.a AND t.b = 3)"),
     "rule_or_body": ("(rule [(near ?x ?y) (or [?x :tree/parent ?y] [?y :tree/parent ?x])])", "[:find ?x ?y :where (near ?x ?y)]", ["x", "y"], "WITH e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey // 2 > 0) SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e"),
 }
@@ -144,6 +210,18 @@ def _temporal(text: str, columns: list[str]) -> Query:
     return run
 
 
+def _logged(rules: str, text: str, columns: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database(spark, facts=fact_log(spark, sf_dir))
+        db.execute_script(rules)
+        found = db.execute(f"(query {text})")
+        shown = lambda c: F.coalesce(c["i"].cast("double"), c["f"])
+        numbers = {"v", "s", "m"}  # the columns that hold tagged numbers
+        return found.df.select(*((shown(F.col(f"`{c}`")) if n in numbers else F.col(f"`{c}`.s")).alias(n) if k == "any" else (F.col(f"`{c}`").cast("double") if n in numbers else F.col(f"`{c}`")).alias(n) for c, n, k in zip(found.df.columns, columns, found.kinds, strict=True)))
+
+    return run
+
+
 def _rules(rules: str, text: str, columns: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         db = database(spark, sf_dir)
@@ -186,6 +264,7 @@ def prepared_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     out = {k: _plain(text, columns) for k, (text, columns, _) in PLAIN.items()}
     out |= {k: _temporal(text, columns) for k, (text, columns, _, _) in TEMPORAL.items()}
+    out |= {k: _logged(rules, text, columns) for k, (rules, text, columns, _) in LOGGED.items()}
     out |= {k: _rules(rules, text, columns) for k, (rules, text, columns, _) in RULES.items()}
     return out | {f.__name__: f for f in (udaf_geomean, udaf_window, udf_predicate, prepared_value)}
 
@@ -193,6 +272,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {k: sql for k, (*_, sql) in PLAIN.items()} | {k: sql for k, (*_, sql) in RULES.items()}
     out |= {k: _LOG.format(cut=cut) + sql for k, (_, _, cut, sql) in TEMPORAL.items()}
+    out |= {k: (_FACTS.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() if sql.startswith(",") else _FACTS) + sql for k, (*_, sql) in LOGGED.items()}
     primes = ", ".join(str(p) for p in range(2, 100) if all(p % d for d in range(2, math.isqrt(p) + 1)))
     return out | {
         "udaf_geomean": "SELECT p_brand AS b, round(exp(sum(ln(p_retailprice)) / count(*)), 4) AS g, count(*) AS n FROM part GROUP BY 1",

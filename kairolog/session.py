@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairolog.functions.exprs import Predicates
-from kairolog.functions.values import BOOL, FLT, INT, KW, NULL, REF, STR, plain
+from kairolog.functions.values import Val, plain
 from kairolog.operators.compile import Compiler
-from kairolog.operators.project import project
+from kairolog.operators.project import Fold, project, value
 from kairolog.operators.rules import Evaluator, Registry, invocations
 from kairolog.plans import parse
 from kairolog.plans.edn import Keyword, ParseError, read_all
@@ -161,30 +161,29 @@ class Database:
         self.relations: dict[str, Relation] = {}
         self.registry = Registry()
         self.predicates: dict[str, Callable] = {}
-        self.aggregates: dict[str, tuple[Callable, str]] = {}
+        self.aggregates: dict[str, Fold] = {}
         self.limits = {":max-derived-facts": max_derived_facts, ":max-results": max_results}
 
     def register(self, name: str, source: DataFrame | Callable[[], DataFrame], key: str | None = None, refs: Mapping[str, str] | None = None) -> None:
         self.relations[name] = Relation(name, source, key, refs or {})
 
     def register_aggregate(self, name: str, init: Callable[[], Any], step: Callable[[Any, Any], Any], finalise: Callable[[Any, int], Any], returns: str = "float") -> None:
-        """``step`` returns the new state; nil is skipped. Runs in Python, a group at a time."""
+        """``step`` returns the new state; nil is skipped. Runs in Python, a group at a time, or over a window with one running state."""
         if name in self.aggregates or name in parse.AGGREGATES | parse.WINDOWS:
             raise ValueError(f"{name} exists")
 
         ship(self.spark)
         python = {"float": float, "int": int, "str": str, "bool": bool}[returns]
 
-        def fold(t: pd.Series, s: pd.Series, i: pd.Series, f: pd.Series, b: pd.Series) -> Any:
+        def fold(*columns: pd.Series) -> Any:
             state, n = init(), 0
-            for row in zip(t, s, i, f, b, strict=True):
-                if row[0] is not None and row[0] == row[0] and row[0] != NULL:
-                    state, n = step(state, _value(*row)), n + 1
+            for x in _values(columns):
+                if x is not None and x == x:
+                    state, n = step(state, x), n + 1
             return finalise(state, n) if n else None
 
-        fold.__annotations__["return"] = python
-        udf = F.pandas_udf(fold, {"float": "double", "int": "bigint", "str": "string", "bool": "boolean"}[returns])
-        self.aggregates[name] = (lambda v: udf(v.tag, *(v.part(p) for p in "sifb"))), returns
+        grouped = _called(fold, python, {"float": "double", "int": "bigint", "str": "string", "bool": "boolean"}[returns])
+        self.aggregates[name] = Fold(init, step, finalise, returns, grouped)
 
     def register_predicate(self, name: str, test: Callable[[Any], bool]) -> None:
         if name in self.predicates or name in parse.ARITHMETIC | parse.COMPARE | parse.STRINGS | parse.TYPES:
@@ -192,11 +191,10 @@ class Database:
 
         ship(self.spark)
 
-        def run(t: pd.Series, s: pd.Series, i: pd.Series, f: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([bool(test(_value(*row))) for row in zip(t, s, i, f, b, strict=True)], dtype=bool)
+        def run(*columns: pd.Series) -> pd.Series:
+            return pd.Series([bool(test(x)) for x in _values(columns)], dtype=bool)
 
-        udf = F.pandas_udf(run, "boolean")
-        self.predicates[name] = lambda v: udf(v.tag, *(v.part(p) for p in "sifb"))
+        self.predicates[name] = _called(run, pd.Series, "boolean")
 
     def execute(self, text: str) -> Any:
         """One command: a Result, a tx_id, or None for a rule."""
@@ -226,12 +224,12 @@ class Database:
     def run(self, q: Query, pending: list = [], now: int | None = None) -> Result:  # noqa: B006
         _known(q, self.predicates)
         valid = (now or max(int(time.time() * 1000), self.log.newest)) if q.valid_at is None else q.valid_at
-        made: list[DataFrame] = []
+        made: dict[bool, DataFrame] = {}
 
-        def facts() -> DataFrame:
-            if not made:
-                made.append(snapshot(self.log.facts(pending), q.as_of, valid))
-            return made[0]
+        def facts(by_entity: bool = False) -> DataFrame:
+            if by_entity not in made:
+                made[by_entity] = snapshot(self.log.facts(pending), q.as_of, valid, by_entity)
+            return made[by_entity]
 
         compiler = Compiler(self.spark, self.relations, facts, self.predicates, valid)
         if invocations(q.where):
@@ -240,9 +238,26 @@ class Database:
         return Result(df, kinds)
 
 
-def _value(t: int, s: Any, i: Any, f: Any, b: Any) -> Any:
-    """The Python value of a tag and its payloads."""
-    return int(i) if t == INT else bool(b) if t == BOOL else {STR: s, REF: s, KW: s, FLT: f}.get(t)
+def _values(columns: Sequence[pd.Series]) -> Iterable[Any]:
+    """Python values of one typed column, or of a tag and its payloads."""
+    if len(columns) == 1:
+        return columns[0].tolist()
+    return (value(None if t is None or t != t else t, *rest) for t, *rest in zip(*columns, strict=True))
+
+
+def _called(f: Callable, python: type, returns: str) -> Callable[[Val], Any]:
+    """The function as a column of a value; a typed value travels as one column."""
+
+    def one(x: pd.Series) -> Any:
+        return f(x)
+
+    def five(t: pd.Series, s: pd.Series, i: pd.Series, r: pd.Series, b: pd.Series) -> Any:
+        return f(t, s, i, r, b)
+
+    for g in (one, five):
+        g.__annotations__ = {**{k: pd.Series for k in g.__annotations__ if k != "return"}, "return": python}
+    typed, tagged = F.pandas_udf(one, returns), F.pandas_udf(five, returns)
+    return lambda v: tagged(v.tag, *(v.part(p) for p in "sifb")) if v.kind == "any" else typed(v.col)
 
 
 def _known(q: Query, predicates: Predicates) -> None:
