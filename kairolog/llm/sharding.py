@@ -1,14 +1,18 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of virtual slots; bytes and rows are summed per slot; a versioned map says which
-shard holds each slot. Version 1 deals slots in turn; rebalancing edits it, moving only slots out of overfull shards.
-What reaches the driver has one row per virtual slot, whatever the corpus.
+Records hash into a fixed number of virtual slots; bytes and rows are summed per slot; a stored map says which shard
+holds each slot. The first version deals slots in turn. A run loads the newest version under its path, measures it, and
+if a shard stands over the mean, edits the map, moving only slots out of overfull shards, and stores that as the next
+version. What reaches the driver has one row per virtual slot, whatever the corpus.
+
+A record that is repeated so often that its slot alone would hold more than a slot's share of all rows is spread over
+the slots by row number; there are no more such records than slots.
 
 The law is ``bytes``: the map follows the measured sizes, so shards hold near-equal bytes. ``slot`` is the row's place
 in its shard, gapless from 0: the rows of the shard's earlier virtual slots, plus its rank in its own.
 
-Cases: a null text has size 16 and checksum 0; null ids hash like any value; repeated rows share a virtual slot and get
-different places; extra columns are ignored; an empty table gives an empty result.
+Cases: a null text has size 16 and checksum 0; null ids hash like any value; repeated rows share a virtual slot, but for
+the above, and get different places; extra columns are ignored; an empty table gives an empty result and leaves the map.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ import heapq
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairolog.llm._tables import materialize
+from kairolog.llm._tables import Scratch
+from kairolog.sources.log import Folder
 
 SHARDS, VIRTUAL_SLOTS, RECORD_OVERHEAD = 40, 4096, 16
 
@@ -52,31 +57,59 @@ def rebalanced(assigned: list[int], bytes_of: dict[int, int], shards: int) -> li
     return out
 
 
-def slot_map(slots: list[tuple[int, int, int]], virtual_slots: int, shards: int) -> pa.Table:
-    """version, virtual_slot, shard, base (rows of the shard's earlier slots in this version) from (slot, bytes, rows)."""
-    bytes_of, rows_of = {v: b for v, b, _ in slots}, {v: n for v, _, n in slots}
-    versions = [first_map(virtual_slots, shards)]
-    versions.append(rebalanced(versions[0], bytes_of, shards))
-    out: dict[str, list[int]] = {"version": [], "virtual_slot": [], "shard": [], "base": []}
-    for number, assigned in enumerate(versions, 1):
-        before = [0] * shards
-        for v, shard in enumerate(assigned):
-            for k, x in zip(out, (number, v, shard, before[shard]), strict=True):
-                out[k].append(x)
-            before[shard] += rows_of.get(v, 0)
-    types = {"version": pa.int32(), "virtual_slot": pa.int32(), "shard": pa.int32(), "base": pa.int64()}
-    return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
-
-
-def shard_documents(docs: DataFrame, shards: int = SHARDS, virtual_slots: int = VIRTUAL_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """The placed rows, and the stored map with all its versions."""
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """The stored map of a version, the newest by default: its number, and the shard of each virtual slot; (0, []) if there is none."""
+    known = [int(n[8:]) for n in Folder(spark, path).names() if n.startswith("version=")]
+    if not known:
+        return 0, []
+    version = version or max(known)
+    rows = spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard").collect()  # a row per virtual slot
+    return version, [s for _, s in sorted((r["virtual_slot"], r["shard"]) for r in rows)]
+
+
+def store_map(spark: SparkSession, path: str, version: int, assigned: list[int]) -> None:
+    table = pa.table({"virtual_slot": pa.array(range(len(assigned)), pa.int32()), "shard": pa.array(assigned, pa.int32())})
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/version={version}")  # a version is never written twice
+
+
+def current_map(spark: SparkSession, path: str, bytes_of: dict[int, int], virtual_slots: int, shards: int) -> tuple[int, list[int]]:
+    """The newest map after this measurement; what is new is stored."""
+    version, assigned = load_map(spark, path)
+    if not version:
+        version, assigned = 1, first_map(virtual_slots, shards)
+        store_map(spark, path, version, assigned)
+    if len(assigned) != virtual_slots or max(assigned) >= shards:
+        raise ValueError(f"the map at {path} has {len(assigned)} virtual slots")
+    edited = rebalanced(assigned, bytes_of, shards)
+    if edited != assigned:
+        version += 1
+        store_map(spark, path, version, edited)
+    return version, edited
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, virtual_slots: int = VIRTUAL_SLOTS, map_path: str | None = None) -> tuple[DataFrame, str]:
+    """The placed rows, and the path of the map, by default one of this run alone."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
+    map_path = map_path or f"{scratch.path}/map"
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + RECORD_OVERHEAD).alias("size"), crc.alias("text_crc32"))
-    rows = rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(virtual_slots)).cast("int"))
-    rows = materialize(rows, "sharding-rows")
-    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    stored = materialize(docs.sparkSession.createDataFrame(slot_map([tuple(r) for r in sums], virtual_slots, shards)), "sharding-map")
-    newest = stored.where(F.col("version") == 2).drop("version")  # one row per virtual slot
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + RECORD_OVERHEAD).alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("number"))
+    rows = scratch.write(rows, "rows")
+    often = rows.groupBy("doc_id", "text_crc32").agg(F.count("*").alias("n")).where(F.col("n") > max(2, -(-rows.count() // virtual_slots)))
+    often = often.select(F.xxhash64("doc_id", "text_crc32").alias("often")).distinct()  # as many rows as virtual slots at most
+    key = F.xxhash64("doc_id", "text_crc32")
+    rows = rows.join(F.broadcast(often), key == F.col("often"), "left")
+    spread = F.when(F.col("often").isNotNull(), F.xxhash64("often", "number")).otherwise(key)
+    rows = scratch.write(rows.select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(virtual_slots)).cast("int").alias("virtual_slot")), "slots")
+    scratch.drop("rows")
+    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # a row per virtual slot
+    rows_of = {r["virtual_slot"]: r["rows"] for r in sums}
+    version, assigned = current_map(spark, map_path, {r["virtual_slot"]: r["bytes"] for r in sums}, virtual_slots, shards)
+    before, base = [0] * shards, []
+    for v, shard in enumerate(assigned):
+        base.append(before[shard])
+        before[shard] += rows_of.get(v, 0)
+    newest = spark.createDataFrame(pa.table({"virtual_slot": pa.array(range(virtual_slots), pa.int32()), "shard": pa.array(assigned, pa.int32()), "base": pa.array(base, pa.int64())}))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     placed = rows.withColumn("rank", rank).join(F.broadcast(newest), "virtual_slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"), stored
+    columns = ["doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version")]
+    return placed.select(*columns), map_path
