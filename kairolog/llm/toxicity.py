@@ -10,7 +10,7 @@ Rows whose crc32(doc_id as text) modulo 3 is 1 are held out: their labels are ne
 label are no features.
 
 Cases: null or wordless texts score the bias alone; null ids hash as the empty text and are not held out; a document
-labelled twice counts twice; extra columns are ignored; without both labels in the sample every score is the share of
+labelled twice counts twice, rows repeated whole once; extra columns are ignored; without both labels in the sample every score is the share of
 label 1 (0.5 with none); an empty table gives an empty result.
 """
 
@@ -64,7 +64,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique((doc << BITS) | feature)
         ends = np.searchsorted(pairs >> BITS, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), lists], ["order", "y", "features"])
 
 
 def chosen(index: np.ndarray, row: np.ndarray, y: np.ndarray, count: int = FEATURES) -> np.ndarray:
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", F.xxhash64("doc_id", "y", "text").alias("order"))
-    found = rows.mapInArrow(_distinct, "y int, features array<int>").toArrow()
+    # rows that repeat an id under one label and text count once, and no more rows than the sample come here
+    found = rows.mapInArrow(_distinct, "order long, y int, features array<int>").dropDuplicates(["order"]).orderBy("order").limit(sample).toArrow()
     y = found["y"].to_numpy().astype(float)
     lists = [np.asarray(x.values) for x in found["features"]]
     order = sorted(range(len(y)), key=lambda i: (y[i], lists[i].tobytes()))  # whatever order the tasks ended in
