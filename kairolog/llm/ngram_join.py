@@ -17,7 +17,7 @@ comparison returns a row per set, with its number of links, weighted by class si
 connected to. Groups of different buckets are then merged by their least id.
 
 Cases: null or wordless texts have no shingles, no links, and are their own class; repeated rows and copies are
-links of one another; rows of one id are told apart by their sets; null ids come after all others, and a class of null
+links of one another; rows of one id are told apart by their texts; null ids come after all others, and a class of null
 ids alone has a null class_id; extra columns, of any name, pass through ``one_of_each``; an empty table gives an empty
 result.
 """
@@ -237,7 +237,7 @@ def by_rows(m: int, f: Callable[[slice], np.ndarray]) -> np.ndarray:
 
 def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come by bucket and pair of blocks; each group is compared once it is complete."""
-    label = pa.struct([("nul", pa.bool_()), ("id", pa.int64())])
+    label = pa.struct([("nul", pa.bool_()), ("doc", pa.int64()), ("row", pa.int64())])
 
     def compare(group: list[tuple]) -> list[tuple]:
         path, i, j = group[0][0]
@@ -266,19 +266,19 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         out: list[tuple] = []
 
         def write() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([{"nul": x[2][0], "id": x[2][1]} for x in out], label)], ["key", "links", "least"])
+            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([dict(zip(("nul", "doc", "row"), x[2], strict=True)) for x in out], label)], ["key", "links", "least"])
             out.clear()
             return batch
 
         for batch in batches:
             get = {k: batch.column(k) for k in batch.schema.names}
-            groups = zip(*(get[k].to_pylist() for k in ("path", "i", "j", "nul", "id")), strict=True)
-            for x, (path, i, j, nul, number) in enumerate(groups):
+            groups = zip(*(get[k].to_pylist() for k in ("path", "i", "j", "nul", "doc", "row")), strict=True)
+            for x, (path, i, j, *name) in enumerate(groups):
                 head = (path, i, j)
                 if held and held[0][0] != head:
                     out += compare(held)
                     held = []
-                held.append((head, get["key"][x].as_py(), get["copies"][x].as_py(), (nul, number), get["tokens"][x].values.to_numpy(), get["block"][x].as_py(), get["leaves"][x].values.to_numpy()))
+                held.append((head, get["key"][x].as_py(), get["copies"][x].as_py(), tuple(name), get["tokens"][x].values.to_numpy(), get["block"][x].as_py(), get["leaves"][x].values.to_numpy()))
             if len(out) > 50_000:
                 yield write()
         if held:
@@ -340,7 +340,7 @@ def components(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, threshold: float, shingle: int, recall: float, branch: float, small: int, block: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """A row per document (doc_id, at, key, n), and one per distinct set (key, copies, at, links, least)."""
+    """A row per document (doc_id, at, key, n), and one per distinct set (key, copies, links, least); ``least`` is the ``at`` of the group's first document."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -350,18 +350,16 @@ def joined(docs: DataFrame, threshold: float, shingle: int, recall: float, branc
     keyed = docs.select("doc_id", at.alias("at"), F.coalesce("text", F.lit("")).alias("text"))
     place = "struct<nul:boolean,doc:bigint,row:bigint>"
     survey = scratch.write(keyed.mapInArrow(_survey(shingle, runs, branch), f"doc_id {kind}, at {place}, key binary, n long, paths array<long>, sketch binary"), "survey")
-    # ids of null come last and are told apart by their set
-    named = F.struct(F.col("at.nul").alias("nul"), F.when(F.col("at.nul"), F.xxhash64("key")).otherwise(F.col("at.doc")).alias("id"))
     classes = survey.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("at").alias("at"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"))
-    classes = scratch.write(classes.withColumn("first", named), "classes")
+    classes = scratch.write(classes, "classes")
     first = classes.select(F.explode("paths").alias("path"), "key")
     first = scratch.write(first.join(_buckets(first).where("members > 1"), "path"), "first")
     tight = scratch.write(screened(first.where(F.col("members") <= small), classes, threshold, block), "tight")
     large = first.where(F.col("members") > small)
-    wanted = tight.select("key").unionByName(large.select("key")).distinct().join(classes, "key").select("key", "copies", "first", "at")
+    wanted = tight.select("key").unionByName(large.select("key")).distinct().join(classes, "key").select("key", "copies", "at")
     # rows repeated whole are one text; the join has them side by side already
-    texts = keyed.select("at.*", "text").join(wanted.select("key", "copies", "first", "at.*"), ["nul", "doc", "row"]).dropDuplicates(["nul", "doc", "row"])
-    sets = scratch.write(texts.select("key", "copies", "first", "text").mapInArrow(_sets(shingle), "key binary, copies long, first struct<nul:boolean,id:bigint>, tokens array<long>"), "sets")
+    texts = keyed.select("at.*", "text").join(wanted.select("key", "copies", "at.*"), ["nul", "doc", "row"]).dropDuplicates(["nul", "doc", "row"])
+    sets = scratch.write(texts.select("key", "copies", F.struct("nul", "doc", "row").alias("first"), "text").mapInArrow(_sets(shingle), f"key binary, copies long, first {place}, tokens array<long>"), "sets")
     rows = tight
     if not large.isEmpty():
         some = scratch.write(sets.join(large.select("key").distinct(), "key", "left_semi"), "large")
@@ -373,18 +371,18 @@ def joined(docs: DataFrame, threshold: float, shingle: int, recall: float, branc
     rows = scratch.write(rows.join(same.select("path"), "path"), "compared")
     own = rows.select("key", "path").groupBy("key").agg(F.collect_set("path").alias("leaves"))  # a bounded number for each set
     rows = rows.join(own, "key").join(sets.select("key", "copies", "first.*", "tokens"), "key")
-    found = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold), "key binary, links long, least struct<nul:boolean,id:bigint>")
+    found = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold), f"key binary, links long, least {place}")
     found = scratch.write(found, "found")
     scratch.drop("sets", "compared", "tight", "screened")
     links = found.groupBy("key").agg(F.sum("links").alias("links")).join(components(scratch, found.select("key", "least").distinct()), "key")
-    return survey, classes.select("key", "copies", "at", "first").join(links, "key", "left").select("key", "copies", "at", "links", F.coalesce("least", "first").alias("least"))
+    return survey, classes.select("key", "copies", "at").join(links, "key", "left").select("key", "copies", "links", F.coalesce("least", "at").alias("least"))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """doc_id, row, class_id (least id of the connected group), n_links (documents with the similarity), n_shingles."""
     survey, sets = joined(docs, threshold, shingle, recall, branch, small, block, depth)
     out = survey.select("doc_id", "at.row", "key", "n").join(sets.select("key", "copies", "links", "least"), "key", "left")
-    class_id = F.when(F.col("n") == 0, F.col("doc_id")).when(~F.col("least.nul"), F.col("least.id")).cast("long")
+    class_id = F.when(F.col("n") == 0, F.col("doc_id")).when(~F.col("least.nul"), F.col("least.doc")).cast("long")
     n_links = F.when(F.col("n") == 0, 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long")
     return out.select("doc_id", "row", class_id.alias("class_id"), n_links.alias("n_links"), F.col("n").alias("n_shingles"))
 
@@ -392,7 +390,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """One row of ``docs`` for each group, the least by id and text hash, and all rows without words."""
     survey, sets = joined(docs, threshold, shingle, recall, branch, small, block, depth)
-    lead = sets.groupBy("least").agg(F.min("at").alias("at")).select("at")
+    lead = sets.select(F.col("least").alias("at")).distinct()
     times = survey.groupBy("at").agg(F.count("*").alias("times"), F.max("n").alias("words"))
     a, b, c, d = fresh(docs, "nul", "doc", "row", "times")
     kept = times.join(lead, "at", "left_semi").unionByName(times.where("words = 0").withColumn("times", F.lit(1).cast("long")))
