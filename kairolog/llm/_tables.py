@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kairolog.sources.shared import folder
 from kairolog.sources.shared import ship as ship
@@ -54,5 +57,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+PLAIN = ("doc_id", "text", "n_chars")
+
+
+def passing(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` over documents whose further columns stand aside in one struct, so that no name of theirs meets one of its own."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        own = [c for c in docs.columns if c in PLAIN]
+        aside = [c for c in docs.columns if c not in PLAIN]
+        held = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(aside)))
+        out = f(docs.select(*own, held.alias("aside")), *args, **options)
+        return out.select(*(F.col(c) if c in own else F.col(f"aside.c{aside.index(c)}").alias(c) for c in docs.columns))
+
+    return run
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ table. Tokens travel as a literal set while they number at most ``SET_BOUND``, e
 code.
 
 Cases: a null or wordless text has no words and is clean; null or wordless items have no windows; equal windows of
-several items count for each; repeated rows get equal results; extra columns pass through ``decontaminated``; with no
+several items count for each; repeated rows get equal results; extra columns, of any name, pass through ``decontaminated``; with no
 items every document is clean, with no documents the result is empty.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairolog.llm._tables import materialize
+from kairolog.llm._tables import materialize, passing
 from kairolog.llm.url_filters import lower_ascii
 
 WINDOW, SHINGLE, SET_BOUND = 10, 5, 50_000
@@ -98,6 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.select("doc_id", "row", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+@passing
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()

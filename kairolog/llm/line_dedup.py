@@ -1,22 +1,24 @@
 """Line dedup over content-defined chunks.
 
-A document's lines get hashes; a rolling hash over the last three decides where a chunk ends (one line in four, on
-average), so an inserted line moves only the boundaries near it. A chunk of two or more lines with words that stands
-in the corpus more than once, byte for byte, is removed everywhere but at its first place (least doc_id, then text
+A document's lines get hashes; a rolling hash over two lines makes every second one, on average, a candidate for the end
+of a chunk, and a chunk ends at the first candidate after its first line. So every chunk but the last has two lines at
+least, and an inserted line moves only the boundaries near it. A chunk of two or more lines with words that stands in
+the corpus more than once, byte for byte, is removed everywhere but at its first place (least doc_id, then text
 checksum, then line).
 
-Equal bytes are established by grouping on the chunk itself; its digest only carries the decision back, and a digest
-that two different chunks share decides nothing. Both groupings combine before they shuffle, so a chunk in a third of
-all documents costs one row per task. All steps are DataFrame code.
+Equal bytes are established by grouping on the chunk itself; its two digests only carry the decision back, and digests
+that two different chunks share decide nothing. Both groupings combine before they shuffle, so a chunk in a third of all
+documents costs one row per task; the repeated digests are written, so that the join back can split a hot one's rows.
+All steps are DataFrame code.
 
-Cases: a null text stays null; an empty one stays empty; rows repeated whole stand
-in one place and all keep what it keeps; a null id sorts before the others; extra columns pass through; an empty table
-gives an empty result. A line is what stands between ``\\n``.
+Cases: a null text stays null; an empty one stays empty; rows repeated whole stand in one place and all keep what it
+keeps; a null id sorts before the others; extra columns, of any name, pass through; an empty table gives an empty
+result. A line is what stands between ``\\n``.
 
-Chunks leave the ends of repeated blocks, and blocks cut into chunks of one line: the rule of ``line_dedup`` and its SQL.
-``run_dedup``, which the pipeline takes, leaves none of a repeated run of two or more lines with words. Each pair of
-successive lines with words (and blank lines between) is removed everywhere but at its first place, so all of a run goes
-at every place but the first of its pairs, and no line loses its first place. Pairs are told apart by SHA-256.
+Chunks leave what of a repeated block stands before its first boundary and after its last: the rule of ``line_dedup`` and
+its SQL. ``run_dedup``, which the pipeline takes, leaves none of a repeated run of two or more lines with words. Each pair
+of successive lines with words (and blank lines between) is removed everywhere but at its first place, so all of a run
+goes at every place but the first of its pairs, and no line loses its first place. Pairs are told apart by SHA-256.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ONE_IN, FACTOR = 4, 31
+from kairolog.llm._tables import Scratch, passing
+
+ONE_IN, FACTOR = 2, 31
 MIN_LINES = 2
+CHUNK = "(.+?)1"  # over flags of candidates: the shortest stretch of two lines or more that ends in one
 ROW = ["doc_id", "__row"]
 
 
@@ -34,9 +39,9 @@ def chunked(docs: DataFrame) -> DataFrame:
     keep = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*keep, F.xxhash64("text").alias("__row"), F.split("text", "\n").alias("__lines"))
     out = out.select(*keep, "__row", "__lines", F.expr("transform(__lines, x -> CAST(conv(substr(md5(CAST(x AS BINARY)), 1, 8), 16, 10) AS BIGINT))").alias("__h"))
-    rolling = f"h * {FACTOR * FACTOR} + coalesce(get(__h, i - 1), 0) * {FACTOR} + coalesce(get(__h, i - 2), 0)"
-    ends = f"filter(transform(__h, (h, i) -> IF(({rolling}) % {ONE_IN} = 0 OR i = size(__h) - 1, i, -1)), i -> i >= 0)"
-    return out.select(*keep, "__row", "__lines", F.expr(ends).alias("__ends"))
+    flags = F.expr(f"array_join(transform(__h, (h, i) -> IF((h * {FACTOR} + coalesce(get(__h, i - 1), 0)) % {ONE_IN} = 0, '1', '0')), '')")
+    out = out.select(*keep, "__row", "__lines", F.split(F.regexp_replace(flags, CHUNK, "$1E"), "").alias("__marks"))
+    return out.select(*keep, "__row", "__lines", F.expr("filter(transform(__marks, (m, i) -> IF(m = 'E' OR i = size(__lines) - 1, i, -1)), i -> i >= 0)").alias("__ends"))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -51,16 +56,17 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, __row, __first: an array of the first lines of the chunks to remove. Rows without any are missing."""
-    rows = chunk_rows(docs).withColumn("digest", F.unhex(F.md5(F.col("chunk").cast("binary"))))
-    place = F.struct("doc_id", "__row", "first")
-    same = rows.groupBy("digest", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    known = same.groupBy("digest").agg(F.count("*").alias("texts"), F.first("n").alias("n"), F.first("at").alias("at"))
-    known = known.where("texts = 1 AND n > 1").select("digest", "at")
-    later = rows.drop("chunk").join(known, "digest").where(~place.eqNullSafe(F.col("at")))
+    digests, place = ["digest", "twin"], F.struct("doc_id", "__row", "first")
+    rows = chunk_rows(docs).select("*", F.unhex(F.md5(F.col("chunk").cast("binary"))).alias("digest"), F.xxhash64("chunk").alias("twin"))
+    same = rows.groupBy(*digests, "chunk").agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    known = same.groupBy(*digests).agg(F.count("*").alias("texts"), F.first("n").alias("n"), F.first("at").alias("at"))
+    known = Scratch(docs.sparkSession, "line-dedup").write(known.where("texts = 1 AND n > 1").select(*digests, "at"), "repeated")
+    later = rows.drop("chunk").join(known, digests).where(~place.eqNullSafe(F.col("at")))
     # equal rows (same id and text) hold the same places: see line_dedup
     return later.groupBy(*ROW).agg(F.collect_set("first").alias("__first"))
 
 
+@passing
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with text (and n_chars, if there is one) without the repeated chunks."""
     names = [F.col(f"`{c}`") for c in docs.columns]
@@ -84,6 +90,7 @@ def pair_rows(docs: DataFrame) -> DataFrame:
     return out.select(*ROW, "first", "last", F.unhex(F.sha2(F.expr("array_join(slice(__lines, first + 1, last - first + 1), '\n')").cast("binary"), 256)).alias("digest"))
 
 
+@passing
 def run_dedup(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with text (and n_chars, if there is one) without the repeated runs of lines."""
     names = [F.col(f"`{c}`") for c in docs.columns]
@@ -105,9 +112,9 @@ def run_dedup(docs: DataFrame) -> DataFrame:
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept_lines, kept_sha256 of each document's text after the removal."""
-    out = line_dedup(docs.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("__before")))
+    out = line_dedup(docs.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("before")))
     count = F.coalesce(F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))), F.lit(0)).cast("long")
-    before = F.when(F.col("__before") < 0, F.lit(0)).otherwise(F.col("__before")).cast("long")
+    before = F.when(F.col("before") < 0, F.lit(0)).otherwise(F.col("before")).cast("long")
     return out.select("doc_id", F.coalesce(before, F.lit(0).cast("long")).alias("n_lines"), count.alias("n_kept_lines"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -116,7 +123,9 @@ def line_dedup_sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 l AS (SELECT r, doc_id, i, x, {h} AS h FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM d WHERE text IS NOT NULL)),
-e AS (SELECT *, (h * {FACTOR * FACTOR} + coalesce(lag(h) OVER w, 0) * {FACTOR} + coalesce(lag(h, 2) OVER w, 0)) % {ONE_IN} = 0 AS ends FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT *, (h * {FACTOR} + coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0)) % {ONE_IN} = 0 AS cand FROM l),
+m AS (SELECT r, regexp_replace(string_agg(CASE WHEN cand THEN '1' ELSE '0' END, '' ORDER BY i), '{CHUNK}', '\\1E', 'g') AS marks FROM f GROUP BY r),
+e AS (SELECT f.*, substr(marks, i::INT + 1, 1) = 'E' AS ends FROM f JOIN m USING (r)),
 k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
 c AS (SELECT r, doc_id, c, min(i) AS a, string_agg(x, chr(10) ORDER BY i) AS chunk, count(*) AS n, count(*) FILTER (WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS inked FROM k GROUP BY r, doc_id, c),
 o AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS nth FROM c WHERE n >= {MIN_LINES} AND inked >= {MIN_LINES}),

@@ -9,7 +9,7 @@ A line fails if it is
 A document is rejected if it is base-failed or if failing lines hold over 30 % of its word characters.
 
 All columns come from one pass over the row, without a shuffle. Cases: a null or wordless text has zeros everywhere and
-is base-failed (under ten words); repeated rows are judged alike; extra columns pass through ``clean`` untouched; an
+is base-failed (under ten words); repeated rows are judged alike; extra columns, of any name, pass through ``clean`` untouched; an
 empty table gives an empty result.
 """
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairolog.llm._tables import passing
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 BOILERPLATE = r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|subscribe to our|click here|sign up|log in|share this|read more|skip to content|enable javascript)"
@@ -83,6 +85,7 @@ def quality_metrics(docs: DataFrame) -> DataFrame:
     return judged(docs.select("doc_id", "text")).select("doc_id", "__q.*", failed.alias("base_failed"), kept.alias("kept"))
 
 
+@passing
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with the columns of ``docs``, their text (and n_chars, if there is one) without failing lines."""
     _, kept = _verdict()

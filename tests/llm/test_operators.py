@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table of nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -102,14 +103,14 @@ def test_substring_places_decide(rows):
 
 def test_line_dedup(docs, rows):
     def chunks(text):
-        out, cur, h = [], [], [0, 0]
+        out, cur, before = [], [], 0
         for i, x in enumerate(all_lines := text.split("\n")):
             n = int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
             cur.append(x)
-            if (n * lines.FACTOR**2 + h[-1] * lines.FACTOR + h[-2]) % lines.ONE_IN == 0 or i == len(all_lines) - 1:
+            if (n * lines.FACTOR + before) % lines.ONE_IN == 0 and len(cur) > 1 or i == len(all_lines) - 1:
                 out.append((i - len(cur) + 1, cur))
                 cur = []
-            h.append(n)
+            before = n
         return out
 
     first = {}
@@ -171,17 +172,37 @@ def test_packing(docs, rows):
     for i, t, *_ in rows:
         total[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
     assert {i: sum(r.length for r in p) for i, p in held.items()} == dict(total)
-    r = sorted(held[0], key=lambda r: r.start)
-    assert b"".join(bytes(x.ids) for x in r) == b"".join(int(x).to_bytes(4, "little") for x in [*tokenizer.encode(rows[0][1], add_special_tokens=False).ids, 2])
+    ids = lambda t: b"".join(int(x).to_bytes(4, "little") for x in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
+    want, place = Counter((i, ids(t)) for i, t, *_ in rows), {}
+    for r in out:
+        place[r.sequence_id * 64 + r.offset] = r
+    got, text = Counter(), b""
+    for _, r in sorted(place.items()):  # the pieces of a document follow one another
+        assert r.start * 4 == len(text)
+        text += bytes(r.ids)
+        if len(text) == 4 * r.doc_tokens:
+            got[r.doc_id, text] += 1
+            text = b""
+    assert got == want and not text
 
 
 def test_sharding(docs, rows):
-    placed, stored = sharding.shard_documents(docs, shards=3, virtual_slots=16)
+    placed, _ = sharding.shard_documents(docs, shards=3, virtual_slots=16)
     out = placed.collect()
-    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out if r.doc_id is not None) == sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows if i is not None)
-    for shard in {r.shard for r in out}:
-        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
-    assert stored.count() == 32 and {r.version for r in stored.select("version").distinct().collect()} == {1, 2}
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in out), key=key) == sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows), key=key)
+    # by brute force: slots of a shard in order, the rows of each by id, checksum and size
+    held = defaultdict(list)
+    for r in out:
+        held[r.virtual_slot].append(r)
+    at = Counter()
+    for v in sorted(held):
+        assert len({r.shard for r in held[v]}) == 1
+        for r in sorted(held[v], key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"])):
+            assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 3
+            held[v].sort(key=lambda r: r.slot)
+        assert [r.slot for r in held[v]] == list(range(at[held[v][0].shard], at[held[v][0].shard] + len(held[v])))
+        at[held[v][0].shard] += len(held[v])
     sizes = {v: rng.randrange(100) + 1 for v in range(400)}
     load = Counter()
     for v, s in enumerate(sharding.rebalanced(sharding.first_map(400, 7), sizes, 7)):
@@ -189,6 +210,41 @@ def test_sharding(docs, rows):
     assert max(load.values()) - min(load.values()) <= 100
 
 
+def test_sharding_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    table = lambda n, big: spark.createDataFrame([(i, "x" * (3000 if i in big else 40)) for i in range(n)], "doc_id long, text string")
+    out, where = sharding.shard_documents(table(600, ()), shards=4, virtual_slots=64, map_path=path)
+    first, before = sharding.load_map(spark, path)
+    assert where == path and sharding.load_map(spark, path, 1)[1] == sharding.first_map(64, 4) and {r.map_version for r in out.collect()} == {first}
+    out, _ = sharding.shard_documents(table(600, (5, 6, 7)), shards=4, virtual_slots=64, map_path=path)
+    version, after = sharding.load_map(spark, path)
+    rows = out.collect()
+    bytes_of, load = Counter(), Counter()
+    for r in rows:
+        bytes_of[r.virtual_slot] += r["size"]
+        load[before[r.virtual_slot]] += r["size"]
+    moved = [v for v in range(64) if before[v] != after[v]]
+    mean = sum(bytes_of.values()) / 4
+    assert version == first + 1 and moved and all(load[before[v]] > mean for v in moved) and len(moved) < 32
+    assert all(r.shard == after[r.virtual_slot] and r.map_version == version for r in rows)
+    again, _ = sharding.shard_documents(table(600, (5, 6, 7)), shards=4, virtual_slots=64, map_path=path)
+    kept = sharding.load_map(spark, path)
+    assert again.count() == 600 and (kept[0] == version or kept[1] != after)
+    with pytest.raises(ValueError):
+        sharding.shard_documents(table(3, ()), shards=4, virtual_slots=8, map_path=path)
+
+
+def test_sharding_of_one_record_repeated(spark):
+    rows = spark.createDataFrame([(1, "same text of it")] * 900 + [(i, f"other {i}") for i in range(300)], "doc_id long, text string").repartition(3)
+    out = sharding.shard_documents(rows, shards=4, virtual_slots=64)[0].collect()
+    load = Counter()
+    for r in out:
+        load[r.shard] += r["size"]
+    assert len(out) == 1200 and max(load.values()) < 1.1 * min(load.values())
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_decontamination(spark, docs, rows):
     items = [("i1", " ".join(split(rows[0][1])[i].decode() for i in range(30, 52))), ("i10", "one TWO"), ("i2", ""), ("i3", None), ("i4", rows[3][1]), ("i5", "two")]
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -315,6 +371,18 @@ def test_urls(spark):
     assert url_filters.url_filters(pages.limit(0)).count() == 0
 
 
+def test_url_rules_of_a_table(spark):
+    for pattern, tokens in (("/login[0-9]*/", ()), ("[.]shop[.]", ("shop",)), ("/a/b1-c$", ("a", "b1", "c")), ("(x|y)ab/", ()), ("/foo(bar)?/", ()), ("://([^/]*[.])?ads[.]", ("ads",)), ("abc", ())):
+        assert url_filters.literal_tokens(pattern) == tokens, pattern
+    rules = [(f"rule {i}", p) for i, p in enumerate(["/login[0-9]*/", "[.]shop[.]", "/w7/(x|y)ab/", "://([^/]*[.])?w3[.]", "[?&]w5=[0-9]", "/w1/w2([/]|$)"])]
+    word = lambda: rng.choice(["login", "login7", "shop", "xab", "yab", "w1", "w2", "w3", "w5", "w7"])
+    urls = [f"http://{word()}.{word()}.org/{word()}/{word()}/{word()}?{word()}=3&{word()}=x" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate([*urls, None])), "page_id long, url string")
+    got = {r.page_id: r.pattern_rule for r in url_filters.url_filters(pages, (), spark.createDataFrame(rules * 2, "name string, pattern string")).collect()}
+    want = {i: min((n for n, p in rules if u and re.search(p, u)), default=None) for i, u in enumerate([*urls, None])}
+    assert got == want and len(set(want.values())) == 7
+
+
 def test_toxicity_interactions(spark, docs):
     rows, labels = [], []
     for i in range(900):
@@ -332,6 +400,23 @@ def test_toxicity_interactions(spark, docs):
     hidden = lab.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
     assert {r.doc_id: r.score for r in toxicity.toxicity(d, hidden).collect()} == {r.doc_id: r.score for r in out}
     assert toxicity.toxicity(docs, lab.limit(0)).select("score").distinct().collect()[0][0] == 0.5
+    assert toxicity.toxicity(docs.limit(0), lab).count() == 0
+    # every score is the sum over features and over pairs of features, one by one
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    model = toxicity.train(d, lab)
+    texts = [t for _, t in rows[:40]] + ["", None, "wretch folk wretch"]
+    found, feature = toxicity.features(pa.array(texts))
+    for i, score in enumerate(toxicity.scores(model, pa.array(texts))):
+        at = sorted({int(model.slot[x]) for x in feature[found == i]} - {-1})
+        z = model.bias + sum(model.linear[a] for a in at) + sum(float(np.dot(model.factors[a], model.factors[b])) for n, a in enumerate(at) for b in at[n + 1 :])
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    # rows that repeat a labelled id don't outgrow the sample
+    bounded = toxicity.train(d.union(d).union(d), lab, sample=50)
+    assert (bounded.linear == toxicity.train(d, lab, sample=50).linear).all()
 
 
 def test_ngram_join(docs, rows):
@@ -348,6 +433,74 @@ def test_ngram_join(docs, rows):
     assert {r.doc_id for r in ngram_join.one_of_each(docs).collect()} >= {0, 3, 10} and 1 not in {r.doc_id for r in ngram_join.one_of_each(docs).collect()}
 
 
+def test_ngram_all_pairs(spark):
+    """Every link among the documents of the test tables, against all pairs."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = split(r.text)
+        sets[r.doc_id] = frozenset(tuple(w[a : a + 5]) for a in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+    links = {i: {j for j, y in sets.items() if j != i and x and y and len(x & y) >= 0.8 * len(x | y)} for i, x in sets.items()}
+    group = {}
+    for i in sorted(sets):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in group:
+                group[j] = i
+                todo += links[j]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.jaccard_join(docs).collect()}
+    assert got == {i: (len(n), group[i]) for i, n in links.items()} and sum(map(len, links.values())) > 0
+
+
+def test_ngram_screen_loses_nothing():
+    import numpy as np
+    import pyarrow as pa
+
+    gen = np.random.default_rng(3)
+    base = [gen.integers(0, 2**63, n).astype(np.uint64) for n in (3, 40, 63, 64, 70, 300, 900)]
+    sets = []
+    for b in base:
+        for drop in (0, 1, len(b) // 20, len(b) // 6, len(b) // 3):
+            sets.append(np.unique(np.concatenate([b[drop:], gen.integers(0, 2**63, drop // 2).astype(np.uint64)])))
+    flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    drawn, size = ngram_join.sketches(flat, ends).to_pylist(), np.array(list(map(len, sets)))
+    side = gen.integers(0, 2, len(sets))
+    for sides in (None, side):
+        may = ngram_join.partners(drawn, size, sides, 0.8)
+        near = [any(i != j and (sides is None or sides[i] != sides[j]) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+        assert all(may[near]) and sum(near) > 8 and not may.all()
+    assert isinstance(ngram_join.sketches(flat, ends), pa.BinaryArray)
+
+
+def test_one_of_each_without_ids(spark):
+    base = words(60)
+    near = [*base[:-1], "other"]
+    rows = [(None, " ".join(base)), (None, " ".join(near)), (None, " ".join(base)), (None, " ".join(words(60))), (4, "five words of their own"), (4, "five words of their own"), (4, "five words of their"), (None, None), (7, None), (7, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, nul int, Times int")
+    out = ngram_join.one_of_each(docs)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and Counter(kept) == Counter([rows[0] if rows[0] in kept else rows[1], rows[3], rows[4], rows[6], (None, None), (7, None), (7, None)])
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.jaccard_join(docs).collect())
+    assert got == Counter({(None, None, 2): 3, (None, None, 0): 2, (4, 4, 1): 2, (4, 4, 0): 1, (7, 7, 0): 2})
+
+
+CLASHING = "doc_id long, text string, n_chars long, `__row` string, `__text` string, `__id` string, `__lines` string, `__first` string, whole string, aside string, nul string, `doc` string"
+
+
+def test_clashing_names(spark, rows):
+    docs = spark.createDataFrame([(i, t, n, *(f"{c}{i}" for c in "abcdefghi")) for i, t, _, _, n in rows], CLASHING)
+    bench = spark.createDataFrame([("i", rows[3][1])], "item_id string, text string")
+    for stage in (quality.clean, lines.line_dedup, lines.run_dedup, ngram_join.one_of_each, lambda d: deco.decontaminated(d, bench)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert all([r[k] == f"{c}{r.doc_id}" for k, c in zip(range(3, 12), "abcdefghi", strict=True)] for r in out.collect())
+    assert deco.contamination(docs.limit(0), bench).count() == 0 and quality.clean(docs).count() > 4
+
+
 def test_ngram_large_group(spark):
     base = words(120)
     rows = []
