@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators, each stage written and read again by the caller.
 
 Quality rules, line dedup, n-gram Jaccard join (one document of each group stays), benchmark decontamination, packing.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Documents that line dedup leaves without words go with the join:
+what they held stands elsewhere, line by line.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairolog.llm._tables import load, materialize
+from kairolog.llm._tables import Scratch, load
 from kairolog.llm.decontamination import decontaminated
 from kairolog.llm.line_dedup import run_dedup
 from kairolog.llm.ngram_join import one_of_each
@@ -27,7 +28,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # what line dedup emptied stands elsewhere line by line; without words it would be a group of its own
     return one_of_each(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
@@ -41,12 +41,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", join_ngrams), ("benchmark decontamination", decontaminate), ("packing", packing)]
 
-#: Tokenizing and chosen paths have no SQL; tests hold the rows against a brute-force version.
+#: Tokenizing and chosen paths have no SQL; ``tests/llm/test_pipeline.py`` holds every row against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    scratch, docs, last = Scratch(spark, "pipeline"), load(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        table = name.replace(" ", "-")
+        docs = scratch.write(stage(spark, docs, sf_dir), table)
+        if last:
+            scratch.drop(last)
+        last = table
     return STAGES[-1][1](spark, docs, sf_dir)
