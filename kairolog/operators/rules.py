@@ -27,6 +27,14 @@ STEPS, SINGLE, WIDER = 4, 3, 8  # steps in a round; rounds of single steps befor
 DELTA = "\0"
 
 
+def _named(clauses: tuple, names: dict[str, str]) -> tuple | None:
+    """Patterns with their variables renamed; None if there are other clauses or variables."""
+    if not all(isinstance(c, Pattern) for c in clauses) or mentions(clauses) - set(names):
+        return None
+    term = lambda t: Var(names[t.name]) if isinstance(t, Var) else t
+    return tuple(Pattern(term(c.e), term(c.a), term(c.v)) for c in clauses)
+
+
 class Reach:
     """The pairs that walks of at most so many steps join, twice as many after each ``lengthen``."""
 
@@ -195,14 +203,16 @@ class Evaluator:
                 return False
         if composed and not steps and base:  # the closure of the base rules
             start = self.union([self.head(r) for r in base] + self.base(name))
-            return self.closed(name, start, start, 0 if seed is None else seed[0], seed)
+            return self.closed(name, start, start, 0 if seed is None else seed[0], seed, True)
         if composed or not base or len({s[0] for s in steps}) != 1:
             return False
         side = steps[0][0]
         edges = [self.compiler.conjunction(rest) for _, rest, _ in steps]
         edges = self.union([Bindings(e.df.select(e.val(a).col.alias("h0"), e.val(b).col.alias("h1")), {"0": ("h0", e.vars[a][1]), "1": ("h1", e.vars[b][1])}) for e, (_, _, (a, b)) in zip(edges, steps, strict=True)])
         start = self.union([self.head(r) for r in base] + self.base(name))
-        return self.closed(name, start, edges, side, seed)
+        (_, rest, ends), r = steps[0], base[0]
+        alike = len(base) == len(steps) == 1 and not self.base_facts and _named(rest, dict(zip(ends, (t.name for t in r.args), strict=True))) == r.body
+        return self.closed(name, start, edges, side, seed, alike)
 
     @staticmethod
     def composes(r: Rule, own: list[Invoke], rest: tuple) -> bool:
@@ -212,10 +222,19 @@ class Evaluator:
         (x, y), ((a, b), (c, d)) = (t.name for t in r.args), ((t.name for t in z.args) for z in own)
         return x != y and any(p == x and q == r_ and s_ == y and q not in (x, y) for p, q, r_, s_ in ((a, b, c, d), (c, d, a, b)))
 
-    def closed(self, name: str, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None) -> bool:
+    def closed(self, name: str, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None, alike: bool) -> bool:
+        """``alike``: what it starts with are the edges themselves."""
         kinds = {k for b in (edges, start) for _, k in b.vars.values()}
         if len(kinds) > 1 or kinds & {"any", "kw"}:  # a keyword and the entity it names meet: tagged values, joined by key
             edges, start = (b.aligned({n: (c, "any") for n, (c, _) in b.vars.items()}) for b in (edges, start))
+        elif alike and seed is None:
+            (c0, _), (c1, _) = start.vars.values()
+            e0, e1 = (c for c, _ in edges.vars.values())
+            reach = Reach(keep(edges.df.select(F.col(e0).alias("s"), F.col(e1).alias("t")).distinct()), lambda c: c)
+            while n := reach.lengthen():
+                self.count(n)
+            self.found[name, 2] = Bindings(reach.pairs.select(F.col("s").alias(c0), F.col("t").alias(c1)), start.vars)
+            return True
         self.found[name, 2] = self.stepped(start, edges, side, seed)
         return True
 
