@@ -400,3 +400,22 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SH
     rows = docs.select(*names, number.isNull().alias(a), F.coalesce(number, F.lit(0).cast("long")).alias(b), F.xxhash64("text").alias(c)).join(kept, [a, b, c])
     # rows that agree in id and text are one document: the first of them stays
     return rows.where(F.col(d) == 1).unionByName(rows.where(F.col(d) > 1).dropDuplicates([a, b, c])).select(*names)
+
+
+def jaccard_sql(shingle: int = SHINGLE) -> str:
+    """The same rows for DuckDB, at a threshold of 4/5: all pairs of distinct sets that share a shingle."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {shingle - 1}), ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {shingle - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+t AS (SELECT s, row_number() OVER () AS token FROM (SELECT DISTINCT s FROM g)),
+k AS (SELECT r, list(token ORDER BY token) AS tokens FROM g JOIN t USING (s) GROUP BY r),
+q AS (SELECT tokens, row_number() OVER () AS c, len(tokens) AS n FROM (SELECT DISTINCT tokens FROM k)),
+m AS (SELECT r, doc_id, c, n FROM d JOIN k USING (r) JOIN q USING (tokens)),
+z AS (SELECT c, count(*) AS copies, min(doc_id) AS low FROM m GROUP BY c),
+x AS (SELECT c, n, unnest(tokens) AS token FROM q),
+e AS (SELECT a, b FROM (SELECT x.c AS a, y.c AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM x JOIN x AS y ON x.token = y.token AND x.c <> y.c AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY ALL) WHERE 5 * shared >= 4 * (na + nb - shared)),
+h AS (SELECT c, c AS other FROM q UNION SELECT h.c, e.b FROM h JOIN e ON h.other = e.a),
+o AS (SELECT h.c, min(low) AS class_id FROM h JOIN z ON h.other = z.c GROUP BY h.c),
+p AS (SELECT a AS c, sum(copies) AS links FROM e JOIN z ON e.b = z.c GROUP BY a)
+SELECT d.doc_id, CASE WHEN m.r IS NULL THEN d.doc_id ELSE class_id END::BIGINT AS class_id, coalesce(copies - 1 + coalesce(links, 0), 0)::BIGINT AS n_links, coalesce(m.n, 0)::BIGINT AS n_shingles
+FROM d LEFT JOIN m USING (r) LEFT JOIN z USING (c) LEFT JOIN o USING (c) LEFT JOIN p USING (c)"""

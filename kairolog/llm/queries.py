@@ -10,11 +10,11 @@ from kairolog.llm._tables import load
 from kairolog.llm.decontamination import contamination, decontamination_sql
 from kairolog.llm.html_extraction import extract_pages
 from kairolog.llm.line_dedup import line_dedup_report, line_dedup_sql
-from kairolog.llm.ngram_join import jaccard_join
+from kairolog.llm.ngram_join import jaccard_join, jaccard_sql
 from kairolog.llm.packing import pack
 from kairolog.llm.quality import quality_metrics, quality_sql
 from kairolog.llm.sharding import shard_documents
-from kairolog.llm.substring_dedup import substring_dedup
+from kairolog.llm.substring_dedup import substring_dedup, substring_sql
 from kairolog.llm.toxicity import toxicity
 from kairolog.llm.url_filters import url_filters, url_filters_sql
 
@@ -76,4 +76,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup_sql(), "op5_benchmark_decontamination": decontamination_sql(), "op6_quality_rules": quality_sql(), "op8_url_filters": url_filters_sql()}
+    return {
+        "op1_substring_dedup": substring_sql(), "op2_line_dedup": line_dedup_sql(), "op5_benchmark_decontamination": decontamination_sql(),
+        "op6_quality_rules": quality_sql(), "op8_url_filters": url_filters_sql(), "op10_ngram_jaccard_join": jaccard_sql(),
+    }

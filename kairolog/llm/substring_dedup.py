@@ -249,3 +249,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     out = survey.drop("phrases").join(removed, ["doc", "row"], "left")
     columns = ["doc_id", "n_words", F.coalesce("gone", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("digest", "sha256").alias("kept_sha256")]
     return out.select(*columns, *([F.col("kept").alias("kept_text")] if texts else []))
+
+
+def substring_sql(window: int = WINDOW) -> str:
+    """The same rows for DuckDB, from the windows themselves."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS k, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, k, i, array_to_string(list_slice(w, i, i + {window - 1}), ' ') AS s FROM (SELECT r, k, w, unnest(range(1, greatest(len(w) - {window - 2}, 1))) AS i FROM d)),
+f AS (SELECT s, min(k) AS least FROM g GROUP BY s HAVING min(k) < max(k)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + {window})) AS x FROM (SELECT r, i FROM g JOIN f USING (s) WHERE least < k)),
+u AS (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS x FROM d),
+l AS (SELECT r, string_agg(v, ' ' ORDER BY x) AS kept FROM u ANTI JOIN c USING (r, x) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (r) LEFT JOIN n USING (r)"""
