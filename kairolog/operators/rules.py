@@ -123,9 +123,9 @@ class Registry:
 
 
 class Evaluator:
-    def __init__(self, compiler: Compiler, registry: Registry, where: tuple, base_facts: bool, limits: dict[str, int]) -> None:
+    def __init__(self, compiler: Compiler, registry: Registry, where: tuple, base_facts: bool, limits: dict[str, int | None]) -> None:
         self.compiler, self.found, self.base_facts = compiler, {}, base_facts
-        self.max_round, self.max_total, self.total = limits.get(":max-derived-facts", 1_000_000), limits.get(":max-results", 1_000_000), 0
+        self.max_round, self.max_total, self.total = limits.get(":max-derived-facts"), limits.get(":max-results"), 0
         compiler.derived = lambda x: self.found.get((x.name, len(x.args)))
         asked: dict[str, list[Invoke]] = defaultdict(list)
         for x, _ in invocations(where):
@@ -300,7 +300,7 @@ class Evaluator:
 
     def count(self, n: int) -> None:
         self.total += n
-        if n > self.max_round or self.total > self.max_total:
+        if self.max_round is not None and n > self.max_round or self.max_total is not None and self.total > self.max_total:
             raise LimitError("the rules derive more facts than allowed")
 
     # demand

@@ -154,9 +154,9 @@ class Write:
 
 
 class Database:
-    """A fact log, in memory or in a folder, and any number of tables registered as attributes."""
+    """A fact log, in memory or in a folder, and any number of tables registered as attributes. Rules derive without limit unless one is given."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, facts: DataFrame | None = None, max_derived_facts: int = 1_000_000, max_results: int = 1_000_000) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, facts: DataFrame | None = None, max_derived_facts: int | None = None, max_results: int | None = None) -> None:
         self.spark, self.log = spark, FactLog(spark, path, facts)
         self.relations: dict[str, Relation] = {}
         self.registry = Registry()

@@ -293,3 +293,30 @@ def test_more_of_the_notation(spark):
     db.execute('(transact {:valid-from "2023-01-01" :valid-to "2025-01-01"} [[:old :tag :w]])')
     assert rows(db, '(query [:find ?m :valid-at "2024-01-01" :where [?e :tag :w] [?e :db/valid-at ?m]])') == [(1704067200000,)]
     assert names("(query [:find ?e :where [?e :tag :w]])") == set()  # no longer true now
+
+
+def hub(spark, n=1100):
+    """n edges into a node and n out of it, which close to n * n + 2 * n pairs: more than a million from 1,100."""
+    into, out = spark.range(1, n + 1).selectExpr("id AS a", "5000L AS b"), spark.range(1, n + 1).selectExpr("5000L AS a", "6000 + id AS b")
+    return into.union(out)
+
+
+STEPS = "(rule [(up ?x ?y) [?e :edge/a ?x] [?e :edge/b ?y]]) (rule [(up ?x ?y) [?e :edge/a ?x] [?e :edge/b ?z] (up ?z ?y)])"
+
+
+def test_closure_without_limit(spark):
+    db = Database(spark)
+    db.register("edge", hub(spark))
+    db.execute_script(STEPS)
+    df = db.execute("(query [:find ?x ?y :where (up ?x ?y)])").df
+    assert df.count() == 1100 * 1100 + 2200
+
+
+@pytest.mark.parametrize("limit", [{"max_derived_facts": 50}, {"max_results": 50}])
+def test_given_limits_hold(spark, limit):
+    db = Database(spark, **limit)
+    db.register("edge", hub(spark, 10))
+    db.execute_script(STEPS)
+    with pytest.raises(LimitError):
+        db.execute("(query [:find ?x ?y :where (up ?x ?y)])")
+    assert db.execute("(query [:find ?x ?y :max-derived-facts 200 :max-results 200 :where (up ?x ?y)])").df.count() == 120
