@@ -12,6 +12,8 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from kairolog.sources.shared import keep
 ROUNDS = 1000
 STEPS, SINGLE, WIDER = 4, 3, 8  # steps in a round; rounds of single steps before longer ones; how many times the edges these may be
 DELTA = "\0"
+Seed = tuple[int, list[Const]]
 
 
 def _named(clauses: tuple, names: dict[str, str]) -> tuple | None:
@@ -152,13 +155,14 @@ class Evaluator:
                         raise ParseError(f"unknown rule {name}")
                     self.found[name, len(x.args)] = self.union(base)
 
-    def seed(self, calls: list[Invoke]) -> tuple[int, object] | None:
-        """(argument, constant) if all invocations hold the same one."""
+    def seed(self, calls: list[Invoke]) -> Seed | None:
+        """(argument, constants) if all invocations hold a constant there; the argument with fewer of them."""
+        found = []
         for i in (0, 1):
-            held = {repr(x.args[i].value) if len(x.args) == 2 and isinstance(x.args[i], Const) else None for x in calls}
-            if len(held) == 1 and None not in held:
-                return i, calls[0].args[i]
-        return None
+            held = {repr(x.args[i].value) if len(x.args) == 2 and isinstance(x.args[i], Const) else None: x.args[i] for x in calls if len(x.args) == 2}
+            if held and None not in held and all(len(x.args) == 2 for x in calls):
+                found.append((i, list(held.values())))
+        return min(found, key=lambda s: len(s[1]), default=None)
 
     def base(self, name: str, arity: int | None = None) -> list[Bindings]:
         """Facts under the attribute of the rule's name count as derived."""
@@ -179,7 +183,7 @@ class Evaluator:
 
     # linear recursion of one predicate
 
-    def linear(self, name: str, seed: tuple[int, object] | None) -> bool:
+    def linear(self, name: str, seed: Seed | None) -> bool:
         """Whether it was evaluated here: base rules, and rules (p ?x ?y) that step from (p ?z ?y) or (p ?x ?z)."""
         base, steps, composed = [], [], False
         for r in self.rules[name]:
@@ -222,7 +226,7 @@ class Evaluator:
         (x, y), ((a, b), (c, d)) = (t.name for t in r.args), ((t.name for t in z.args) for z in own)
         return x != y and any(p == x and q == r_ and s_ == y and q not in (x, y) for p, q, r_, s_ in ((a, b, c, d), (c, d, a, b)))
 
-    def closed(self, name: str, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None, alike: bool) -> bool:
+    def closed(self, name: str, start: Bindings, edges: Bindings, side: int, seed: Seed | None, alike: bool) -> bool:
         """``alike``: what it starts with are the edges themselves."""
         kinds = {k for b in (edges, start) for _, k in b.vars.values()}
         if len(kinds) > 1 or kinds & {"any", "kw"}:  # a keyword and the entity it names meet: tagged values, joined by key
@@ -246,22 +250,26 @@ class Evaluator:
         v = literal(t.value)
         return v.tagged() if kind == "any" else Val("ref", F.lit(entity_id(t.value))) if kind == "ref" and isinstance(t.value, (Keyword, uuid.UUID)) else v
 
-    def stepped(self, start: Bindings, edges: Bindings, side: int, seed: tuple[int, object] | None) -> Bindings:
-        """Rounds of joins. From a seed on the moving side, only what it reaches is visited, as single values."""
+    def stepped(self, start: Bindings, edges: Bindings, side: int, seed: Seed | None) -> Bindings:
+        """Rounds of joins. From seeds on the moving side, only what they reach is visited."""
         (c0, kind), (c1, _) = start.vars["0"], start.vars["1"]
         ident = (lambda c: key(Val("any", c))) if kind == "any" else lambda c: c
         e0, e1 = (c for c, _ in edges.vars.values())
         near, far = (e1, e0) if side == 0 else (e0, e1)
+        values = [] if seed is None else [self.const(t, kind) for t in seed[1]]
         if seed is not None and seed[0] == side:
-            value = self.const(seed[1], kind)
-            if value.kind != kind:
+            values = [v for v in values if v.kind == kind]
+            if not values:
                 return start.where(F.lit(False))
             hop = edges.df.select(ident(F.col(far)).alias("s"), F.col(near).alias("t"))
-            reached = self.walk(self.compiler.spark.range(1).select(value.col.alias("x")), "x", hop, ident)
             moving, fixed = (c0, c1) if side == 0 else (c1, c0)
-            df = start.df.join(reached, ident(F.col("x")) == ident(F.col(moving)), "left_semi").select(value.col.alias(moving), fixed).distinct().select(c0, c1)
-            return Bindings(df, start.vars)
-        begin = start if seed is None else start.where(same(start.val(str(seed[0])), self.const(seed[1], kind)))
+            if len(values) == 1:
+                reached = self.walk(self.compiler.spark.range(1).select(values[0].col.alias("x")), "x", hop, ident).withColumn("from", values[0].col)
+            else:  # each goes its own way
+                reached = self.walk(self.compiler.spark.range(1).select(F.explode(F.array(*(v.col for v in values))).alias("x")).select(F.col("x").alias("from"), "x"), "x", hop, ident)
+            df = start.df.select(ident(F.col(moving)).alias("at"), F.col(fixed).alias("end")).join(reached.select("from", ident(F.col("x")).alias("at")), "at")
+            return Bindings(df.select(F.col("from").alias(moving), F.col("end").alias(fixed)).distinct().select(c0, c1), start.vars)
+        begin = start if seed is None else start.where(reduce(or_, (same(start.val(str(seed[0])), v) for v in values)))
         hop = edges.df.select(ident(F.col(near)).alias("s"), F.col(far).alias("t"))
         return Bindings(self.walk(begin.df, c0 if side == 0 else c1, hop, ident), start.vars)
 

@@ -320,3 +320,18 @@ def test_given_limits_hold(spark, limit):
     with pytest.raises(LimitError):
         db.execute("(query [:find ?x ?y :where (up ?x ?y)])")
     assert db.execute("(query [:find ?x ?y :max-derived-facts 200 :max-results 200 :where (up ?x ?y)])").df.count() == 120
+
+
+def test_two_constants_derive_what_they_reach(spark):
+    """Edges i -> i // 2: a closure of thousands of pairs, of which two constants reach 15."""
+    edges = spark.range(2, 1000).selectExpr("id AS a", "id div 2 AS b")
+    up = lambda x: {(x, x >> k) for k in range(1, x.bit_length())}
+    other = "(rule [(up ?x ?y) [?e :edge/a ?x] [?e :edge/b ?y]]) (rule [(up ?x ?y) (up ?x ?z) [?e :edge/a ?z] [?e :edge/b ?y]])"
+    for rules in (STEPS, other):
+        db = Database(spark, max_results=20)
+        db.register("edge", edges)
+        db.execute_script(rules)
+        assert set(rows(db, "(query [:find ?y ?z :where (up 500 ?y) (up 99 ?z)])")) == {(y, z) for _, y in up(500) for _, z in up(99)}
+        assert set(rows(db, "(query [:find ?y :where (or (up 500 ?y) (up 99 ?y))])")) == {(y,) for _, y in up(500) | up(99)}
+        assert set(rows(db, "(query [:find ?x :where (or (up ?x 499) (up ?x 250))])")) == {(998,), (999,), (500,), (501,)}
+        assert rows(db, "(query [:find ?y ?z :where (up 500 ?y) (up :none ?z)])") == []
