@@ -134,14 +134,18 @@ class Evaluator:
         for x, _ in invocations(where):
             asked[x.name].append(x)
         self.rules = registry.reachable(set(asked))
-        inner = {x.name for rs in self.rules.values() for r in rs for x, _ in invocations(r.body) if x.name != r.name}
+        every = defaultdict(list, {p: list(xs) for p, xs in asked.items()})  # what the query and other rules ask
+        for r in (r for rs in self.rules.values() for r in rs):
+            for x, _ in invocations(r.body):
+                if x.name != r.name:
+                    every[x.name].append(x)
         for group in groups(self.rules):
             name = min(group)
             recursive = len(group) > 1 or any(x.name == name for r in self.rules[name] for x, _ in invocations(r.body))
             calls = {p: asked[p] for p in group if p in asked}
             if not recursive:
                 self.found[name, len(self.rules[name][0].args)] = self.union([self.head(r) for r in self.rules[name]] + self.base(name))
-            elif len(group) > 1 or not self.linear(name, None if name in inner else self.seed(asked[name])):
+            elif len(group) > 1 or not self.linear(name, self.seed(every[name])):
                 outside = {x.name for p, rs in self.rules.items() if p not in group for r in rs for x, _ in invocations(r.body)}
                 if not (group & outside) and self.demanded(group, calls):
                     continue

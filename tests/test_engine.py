@@ -335,3 +335,14 @@ def test_two_constants_derive_what_they_reach(spark):
         assert set(rows(db, "(query [:find ?y :where (or (up 500 ?y) (up 99 ?y))])")) == {(y,) for _, y in up(500) | up(99)}
         assert set(rows(db, "(query [:find ?x :where (or (up ?x 499) (up ?x 250))])")) == {(998,), (999,), (500,), (501,)}
         assert rows(db, "(query [:find ?y ?z :where (up 500 ?y) (up :none ?z)])") == []
+
+
+def test_constants_in_other_rules_derive_what_they_reach(spark):
+    edges = spark.range(2, 1000).selectExpr("id AS a", "id div 2 AS b")
+    db = Database(spark, max_results=20)
+    db.register("edge", edges)
+    db.execute_script(STEPS + "(rule [(apart ?x) [?e :edge/a ?x] (not (up ?x 100))]) (rule [(either ?x) (or (up ?x 100) (up ?x 124))])")
+    below = lambda y: {x for x in range(2, 1000) if any(x >> k == y for k in range(1, 10))}
+    assert {x for x, in rows(db, "(query [:find ?x :where (apart ?x)])")} == set(range(2, 1000)) - below(100)
+    assert {x for x, in rows(db, "(query [:find ?x :max-results 100 :where (either ?x) (not (up ?x 25))])")} == below(100) - below(25) | below(124)
+    assert len(rows(db, "(query [:find ?x ?y :max-results 100000 :where (apart ?x) (up ?x ?y)])")) == sum(x.bit_length() - 1 for x in set(range(2, 1000)) - below(100))
