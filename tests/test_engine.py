@@ -346,3 +346,10 @@ def test_constants_in_other_rules_derive_what_they_reach(spark):
     assert {x for x, in rows(db, "(query [:find ?x :where (apart ?x)])")} == set(range(2, 1000)) - below(100)
     assert {x for x, in rows(db, "(query [:find ?x :max-results 100 :where (either ?x) (not (up ?x 25))])")} == below(100) - below(25) | below(124)
     assert len(rows(db, "(query [:find ?x ?y :max-results 100000 :where (apart ?x) (up ?x ?y)])")) == sum(x.bit_length() - 1 for x in set(range(2, 1000)) - below(100))
+
+
+def test_composed_closure_without_limit(spark):
+    db = Database(spark)
+    db.register("edge", hub(spark))
+    db.execute_script("(rule [(to ?x ?y) [?e :edge/a ?x] [?e :edge/b ?y]]) (rule [(to ?x ?y) (to ?x ?z) (to ?z ?y)])")
+    assert db.execute("(query [:find ?x ?y :where (to ?x ?y)])").df.count() == 1100 * 1100 + 2200
