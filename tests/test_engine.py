@@ -353,3 +353,10 @@ def test_composed_closure_without_limit(spark):
     db.register("edge", hub(spark))
     db.execute_script("(rule [(to ?x ?y) [?e :edge/a ?x] [?e :edge/b ?y]]) (rule [(to ?x ?y) (to ?x ?z) (to ?z ?y)])")
     assert db.execute("(query [:find ?x ?y :where (to ?x ?y)])").df.count() == 1100 * 1100 + 2200
+
+
+def test_mutual_rules_without_limit(spark):
+    db = Database(spark)
+    db.register("edge", spark.range(1, 1_100_001).selectExpr("id AS a", "IF(id = 1, 0L, 1L) AS b"))
+    db.execute_script("(rule [(even ?x) [?e :edge/a ?x] [?e :edge/b 0]]) (rule [(odd ?x) [?e :edge/a ?x] [?e :edge/b ?y] (even ?y)]) (rule [(even ?x) [?e :edge/a ?x] [?e :edge/b ?y] (odd ?y)])")
+    assert db.execute("(query [:find ?x :where (odd ?x)])").df.count() == 1_099_999
