@@ -360,3 +360,10 @@ def test_mutual_rules_without_limit(spark):
     db.register("edge", spark.range(1, 1_100_001).selectExpr("id AS a", "IF(id = 1, 0L, 1L) AS b"))
     db.execute_script("(rule [(even ?x) [?e :edge/a ?x] [?e :edge/b 0]]) (rule [(odd ?x) [?e :edge/a ?x] [?e :edge/b ?y] (even ?y)]) (rule [(even ?x) [?e :edge/a ?x] [?e :edge/b ?y] (odd ?y)])")
     assert db.execute("(query [:find ?x :where (odd ?x)])").df.count() == 1_099_999
+
+
+def test_log_closure_without_limit(spark):
+    facts = hub(spark).selectExpr("concat('u', a) AS e", "':up' AS a", "named_struct('t', 4Y, 's', concat('u', b), 'i', CAST(NULL AS BIGINT), 'f', CAST(NULL AS DOUBLE), 'b', CAST(NULL AS BOOLEAN)) AS v", "0L AS tx_id", "1L AS tx_count", "0L AS valid_from", "9223372036854775807L AS valid_to", "true AS asserted")
+    db = Database(spark, facts=facts)
+    db.execute_script("(rule [(above ?x ?y) [?x :up ?y]]) (rule [(above ?x ?y) [?x :up ?z] (above ?z ?y)])")
+    assert db.execute("(query [:find ?x ?y :where (above ?x ?y)])").df.count() == 1100 * 1100 + 2200
