@@ -10,7 +10,7 @@ Before tokens travel, a bucket's sets are screened by their sizes and odd sketch
 token, in which every token flips one bit. A token that two sets don't share flips at most one bit of the difference,
 so two sketches differ in no more bits than the sets in tokens, and what the similarity allows there is known from the
 sizes: the screen loses no pair. Only sets with a possible partner in a bucket go on; buckets that then hold the same
-sets are compared once.
+sets are compared once. Texts are sifted by a bit map of the wanted sets before they are dealt, so few others travel.
 
 A pair counts in the least bucket that it shares, so its link is counted once without any table of pairs: each
 comparison returns a row per set, with its number of links, weighted by class sizes, and the group that it is
@@ -39,6 +39,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 BRANCH, SMALL, BLOCK, DEPTH, ALIKE = 3.0, 512, 1024, 4, 0.5
 COLUMNS, ROWS = 2048, 256
 SKETCHED, CELLS = U(0xA0761D6478BD642F), 1 << 21
+SIFT, MOST = 16, 1 << 27  # bits for a wanted row, and in all
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, branch: float = BRANCH, depth: int = DEPTH) -> int:
@@ -322,6 +323,20 @@ def screened(leaf: DataFrame, sketch: DataFrame, threshold: float, block: int) -
     return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_screen(threshold), "path long, i int, j int, block int, key binary")
 
 
+def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that may agree with a wanted one in its columns: all that do, and few others.
+
+    What travels is a bit map of hashes, of ``MOST`` bits at most; a fuller map lets more others through, and loses none."""
+    bits = min(MOST, 1 << max(16, (SIFT * wanted.count()).bit_length()))
+    (place,) = fresh(rows, "place")
+    hashed = F.expr(f"pmod(xxhash64({', '.join(wanted.columns)}), {bits}L) + 1")
+    maps = wanted.select(hashed.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bitmap"))
+    at = f"bitmap_bit_position(rows.{place})"
+    byte = f"CAST(conv(hex(substring(maps.bitmap, CAST({at} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    held = F.expr(f"maps.bucket = bitmap_bucket_number(rows.{place}) AND getbit({byte}, CAST({at} % 8 AS INT)) = 1")
+    return rows.withColumn(place, hashed).alias("rows").join(F.broadcast(maps.alias("maps")), held, "left_semi").select(*(F.col(f"rows.{c}") for c in rows.columns))
+
+
 def components(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """key, least: the least id of everything reached, from (key, least) rows that each tie a key to a group's least id."""
     names = rows.groupBy("key").agg(F.min("least").alias("least"))
@@ -356,10 +371,12 @@ def joined(docs: DataFrame, threshold: float, shingle: int, recall: float, branc
     first = scratch.write(first.join(_buckets(first).where("members > 1"), "path"), "first")
     tight = scratch.write(screened(first.where(F.col("members") <= small), classes, threshold, block), "tight")
     large = first.where(F.col("members") > small)
-    wanted = tight.select("key").unionByName(large.select("key")).distinct().join(classes, "key").select("key", "copies", "at")
+    wanted = scratch.write(tight.select("key").unionByName(large.select("key")).distinct().join(classes, "key").select("key", "copies", "at.*"), "wanted")
+    few = sifted(keyed.select("at.*", "text"), wanted.select("nul", "doc", "row"))
     # rows repeated whole are one text; the join has them side by side already
-    texts = keyed.select("at.*", "text").join(wanted.select("key", "copies", "at.*"), ["nul", "doc", "row"]).dropDuplicates(["nul", "doc", "row"])
+    texts = few.join(wanted, ["nul", "doc", "row"]).dropDuplicates(["nul", "doc", "row"])
     sets = scratch.write(texts.select("key", "copies", F.struct("nul", "doc", "row").alias("first"), "text").mapInArrow(_sets(shingle), f"key binary, copies long, first {place}, tokens array<long>"), "sets")
+    scratch.drop("wanted")
     rows = tight
     if not large.isEmpty():
         some = scratch.write(sets.join(large.select("key").distinct(), "key", "left_semi"), "large")

@@ -515,3 +515,17 @@ def test_ngram_large_group(spark):
 @pytest.mark.parametrize("run", [lambda d: substring_dedup.substring_dedup(d), lambda d: lines.line_dedup(d), lambda d: packing.pack(d, vocabulary()), lambda d: sharding.shard_documents(d)[0], quality.quality_metrics, lambda d: ngram_join.jaccard_join(d)])
 def test_empty_table(docs, run):
     assert run(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [ngram_join.MOST, 1 << 16])
+def test_ngram_sift_loses_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST", most)
+    rows = spark.range(100_000).selectExpr("id % 10 = 0 AS nul", "id AS doc", "xxhash64(id) AS row", "concat('text ', id) AS text")
+    keys = ["nul", "doc", "row"]
+    wanted = rows.where("doc % 20 = 0").select(keys)
+    got = ngram_join.sifted(rows, wanted)
+    assert got.columns == rows.columns
+    got = {r.doc for r in got.collect()}
+    assert got >= set(range(0, 100_000, 20))
+    assert len(got) < 5000 + (95_000 * 0.1 if most > 1 << 16 else 95_000 * 0.2)
+    assert ngram_join.sifted(rows, wanted.limit(0)).count() == 0 == ngram_join.sifted(rows.limit(0), wanted).count()
