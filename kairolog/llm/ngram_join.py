@@ -10,7 +10,8 @@ Before tokens travel, a bucket's sets are screened by their sizes and odd sketch
 token, in which every token flips one bit. A token that two sets don't share flips at most one bit of the difference,
 so two sketches differ in no more bits than the sets in tokens, and what the similarity allows there is known from the
 sizes: the screen loses no pair. Only sets with a possible partner in a bucket go on; buckets that then hold the same
-sets are compared once. Texts are sifted by a bit map of the wanted sets before they are dealt, so few others travel.
+sets are compared once. Token lists never travel: texts do, which are shorter, and only those that a split or a
+comparison asks for; a bit map of the wanted ones sifts them before they are dealt, so few others go along.
 
 A pair counts in the least bucket that it shares, so its link is counted once without any table of pairs: each
 comparison returns a row per set, with its number of links, weighted by class sizes, and the group that it is
@@ -111,26 +112,22 @@ def _survey(k: int, runs: int, branch: float) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _split(k: int, branch: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text goes on from each of its paths."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "text"):
             sets, ends = shingle_sets(batch.column("text"), k)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), batch.column("first"), lists], ["key", "copies", "first", "tokens"])
-
-    return run
-
-
-def _split(branch: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column("tokens")
-            size = np.diff(tokens.offsets.to_numpy())
+            size = np.diff(ends)
             owner = np.repeat(np.arange(len(size)), size)
-            parent = batch.column("path").to_numpy().view(U)
-            at, new = chosen(parent[owner], tokens.flatten().to_numpy().view(U), size[owner].astype(float), branch)
-            rows = pa.array(owner[at])
-            yield pa.RecordBatch.from_arrays([batch.column("path").take(rows), pa.array(new.view(np.int64)), batch.column("key").take(rows)], ["parent", "path", "key"])
+            paths, count = batch.column("paths").flatten().to_numpy().view(U), batch.column("paths").value_lengths().to_numpy()
+            begin = np.cumsum(count) - count
+            for turn in range(count.max()):  # a path of each text at a time, so that memory is bounded
+                held = count[owner] > turn
+                who = owner[held]
+                parent = paths[begin[who] + turn]
+                at, new = chosen(parent, sets[held], size[who].astype(float), branch)
+                yield pa.RecordBatch.from_arrays([pa.array(parent[at].view(np.int64)), pa.array(new.view(np.int64)), batch.column("key").take(pa.array(who[at]))], ["parent", "path", "key"])
 
     return run
 
@@ -236,7 +233,7 @@ def by_rows(m: int, f: Callable[[slice], np.ndarray]) -> np.ndarray:
     return np.concatenate([f(slice(a, a + ROWS)) for a in range(0, m, ROWS)])
 
 
-def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verify(threshold: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come by bucket and pair of blocks; each group is compared once it is complete."""
     label = pa.struct([("nul", pa.bool_()), ("doc", pa.int64()), ("row", pa.int64())])
 
@@ -271,15 +268,16 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             out.clear()
             return batch
 
-        for batch in batches:
-            get = {k: batch.column(k) for k in batch.schema.names}
-            groups = zip(*(get[k].to_pylist() for k in ("path", "i", "j", "nul", "doc", "row")), strict=True)
+        for batch in sized(batches, "text"):
+            get = {name: batch.column(name) for name in batch.schema.names}
+            sets, ends = shingle_sets(get["text"], k)
+            groups = zip(*(get[name].to_pylist() for name in ("path", "i", "j", "nul", "doc", "row")), strict=True)
             for x, (path, i, j, *name) in enumerate(groups):
                 head = (path, i, j)
                 if held and held[0][0] != head:
                     out += compare(held)
                     held = []
-                held.append((head, get["key"][x].as_py(), get["copies"][x].as_py(), tuple(name), get["tokens"][x].values.to_numpy(), get["block"][x].as_py(), get["leaves"][x].values.to_numpy()))
+                held.append((head, get["key"][x].as_py(), get["copies"][x].as_py(), tuple(name), sets[ends[x] : ends[x + 1]], get["block"][x].as_py(), get["leaves"][x].values.to_numpy()))
             if len(out) > 50_000:
                 yield write()
         if held:
@@ -294,14 +292,17 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("members"))
 
 
-def leaves(scratch: Scratch, sets: DataFrame, large: DataFrame, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """path, key, members: the sets in each bucket that is to be compared. ``large``: path, key, members of level 1; ``sets``: their tokens."""
+def leaves(scratch: Scratch, keyed: DataFrame, classes: DataFrame, large: DataFrame, shingle: int, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """path, key, members: the sets in each bucket that is to be compared. ``large``: path, key, members of level 1."""
     done = large.limit(0)
     for level in range(2, depth + 1):
         if large.isEmpty():
             break
         parents = large.select("path", "members").distinct().select(F.col("path").alias("parent"), F.col("members").alias("before"))
-        below = scratch.write(large.select("path", "key").join(sets.select("key", "tokens"), "key").select("path", "key", "tokens").mapInArrow(_split(branch), "parent long, path long, key binary"), f"level-{level}")
+        asked = large.groupBy("key").agg(F.collect_list("path").alias("paths"))  # a bounded number for each set
+        asked = scratch.write(asked.join(classes.select("key", "at.*"), "key"), f"asked-{level}")
+        below = scratch.write(fetched(keyed, asked).select("paths", "key", "text").mapInArrow(_split(shingle, branch), "parent long, path long, key binary"), f"level-{level}")
+        scratch.drop(f"asked-{level}")
         size = below.groupBy("parent", "path").agg(F.count("*").alias("members"))
         dense = size.groupBy("parent").agg(F.max("members").alias("most")).join(parents, "parent").where(F.col("most") > ALIKE * F.col("before")).select("parent")
         stay = large.join(dense.select(F.col("parent").alias("path")), "path", "left_semi").select("path", "key", "members", F.lit(True).alias("done"))
@@ -337,6 +338,12 @@ def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn(place, hashed).alias("rows").join(F.broadcast(maps.alias("maps")), held, "left_semi").select(*(F.col(f"rows.{c}") for c in rows.columns))
 
 
+def fetched(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the texts that their nul, doc and row name; documents repeated whole are one text."""
+    place = ["nul", "doc", "row"]
+    return sifted(keyed.select("at.*", "text"), rows.select(place).distinct()).dropDuplicates(place).join(rows, place)
+
+
 def components(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """key, least: the least id of everything reached, from (key, least) rows that each tie a key to a group's least id."""
     names = rows.groupBy("key").agg(F.min("least").alias("least"))
@@ -371,26 +378,20 @@ def joined(docs: DataFrame, threshold: float, shingle: int, recall: float, branc
     first = scratch.write(first.join(_buckets(first).where("members > 1"), "path"), "first")
     tight = scratch.write(screened(first.where(F.col("members") <= small), classes, threshold, block), "tight")
     large = first.where(F.col("members") > small)
-    wanted = scratch.write(tight.select("key").unionByName(large.select("key")).distinct().join(classes, "key").select("key", "copies", "at.*"), "wanted")
-    few = sifted(keyed.select("at.*", "text"), wanted.select("nul", "doc", "row"))
-    # rows repeated whole are one text; the join has them side by side already
-    texts = few.join(wanted, ["nul", "doc", "row"]).dropDuplicates(["nul", "doc", "row"])
-    sets = scratch.write(texts.select("key", "copies", F.struct("nul", "doc", "row").alias("first"), "text").mapInArrow(_sets(shingle), f"key binary, copies long, first {place}, tokens array<long>"), "sets")
-    scratch.drop("wanted")
     rows = tight
     if not large.isEmpty():
-        some = scratch.write(sets.join(large.select("key").distinct(), "key", "left_semi"), "large")
-        rows = scratch.write(tight.unionByName(screened(leaves(scratch, some, large, branch, small, depth), classes, threshold, block)), "screened")
-        scratch.drop("tight", "large", *(f"split-{level}" for level in range(2, depth + 1)))
+        rows = scratch.write(tight.unionByName(screened(leaves(scratch, keyed, classes, large, shingle, branch, small, depth), classes, threshold, block)), "screened")
+        scratch.drop("tight", *(f"split-{level}" for level in range(2, depth + 1)))
     scratch.drop("first")
     held = rows.select("path", "key").distinct()
     same = held.groupBy("path").agg(F.count("*").alias("size"), *(F.sum(F.xxhash64("key", F.lit(x)).cast("decimal(38,0)")).alias(f"sum{x}") for x in (0, 1))).groupBy("size", "sum0", "sum1").agg(F.min("path").alias("path"))
     rows = scratch.write(rows.join(same.select("path"), "path"), "compared")
     own = rows.select("key", "path").groupBy("key").agg(F.collect_set("path").alias("leaves"))  # a bounded number for each set
-    rows = rows.join(own, "key").join(sets.select("key", "copies", "first.*", "tokens"), "key")
-    found = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold), f"key binary, links long, least {place}")
+    placed = scratch.write(rows.join(own, "key").join(classes.select("key", "copies", "at.*"), "key"), "placed")
+    scratch.drop("compared", "tight", "screened")
+    found = fetched(keyed, placed).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold, shingle), f"key binary, links long, least {place}")
     found = scratch.write(found, "found")
-    scratch.drop("sets", "compared", "tight", "screened")
+    scratch.drop("placed")
     links = found.groupBy("key").agg(F.sum("links").alias("links")).join(components(scratch, found.select("key", "least").distinct()), "key")
     return survey, classes.select("key", "copies", "at").join(links, "key", "left").select("key", "copies", "links", F.coalesce("least", "at").alias("least"))
 

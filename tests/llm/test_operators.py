@@ -529,3 +529,14 @@ def test_ngram_sift_loses_nothing(spark, monkeypatch, most):
     assert got >= set(range(0, 100_000, 20))
     assert len(got) < 5000 + (95_000 * 0.1 if most > 1 << 16 else 95_000 * 0.2)
     assert ngram_join.sifted(rows, wanted.limit(0)).count() == 0 == ngram_join.sifted(rows.limit(0), wanted).count()
+
+
+def test_ngram_fetches_only_texts_with_partners(spark, monkeypatch):
+    """Of a large bucket, all travel to be split, and only those with a possible partner to be compared."""
+    asked, sift = [], ngram_join.sifted
+    monkeypatch.setattr(ngram_join, "sifted", lambda rows, wanted: asked.append(wanted.count()) or sift(rows, wanted))
+    near = words(100)
+    rows = [(i, " ".join([*near[:99], f"end{i}"])) for i in range(2)] + [(i, " ".join(["these", "five", "words", "are", "shared", *(f"w{i}x{j}" for j in range(8))])) for i in range(2, 60)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), small=8, block=16).collect()}
+    assert got == {0: (0, 1), 1: (0, 1)} | {i: (i, 0) for i in range(2, 60)}
+    assert asked[0] >= 50 and asked[-1] == 2
